@@ -228,7 +228,7 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes:
 
 def _read(uri: str) -> bytes:
     store, path = shared.filesystem(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

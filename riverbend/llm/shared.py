@@ -72,7 +72,7 @@ def write_atomically(uri: str, data) -> None:
     store, path = filesystem(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         for piece in [data] if isinstance(data, (bytes, memoryview)) else data:
             out.write(piece)
     store.move(part, path)
