@@ -49,7 +49,7 @@ DF_BUCKETS = 1 << 18
 #: Draws per hash function that shingles are mapped to.
 DRAWS = 1 << 14
 #: Centres for each bucket by round; the last repeats.
-CENTRES = (1, 16, 256, 4096)
+CENTRES = (1, 64, 4096)
 
 _rng = np.random.default_rng(77)
 _K = BANDS * ROWS
@@ -187,7 +187,7 @@ def components(links: DataFrame) -> DataFrame:
     Every round each node takes the smallest label of its neighbours, then its label's label (pointer jumping), so rounds grow
     with the logarithm of a component's diameter in practice. Minima are combined before each shuffle.
     """
-    both = shared.materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = shared.materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
@@ -199,59 +199,58 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _candidates(bands: DataFrame, comp: DataFrame | None, done: DataFrame | None, centres: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, the centres) of all open buckets.
+def _centres(bands: DataFrame, comp: DataFrame | None, many: int) -> tuple[DataFrame, DataFrame]:
+    """(members of open buckets with their components, the centres of the round).
 
-    bands: band, hash, node, weight. Members that were centres are compared with everybody already. A bucket is open while the others
-    lie in more than one component; centres are taken outside the largest of these.
+    bands: band, hash, node, weight, done (it was a centre, so it is compared with everybody already). A bucket is open while its
+    other members lie in more than one component; centres are taken outside the largest of these. A closed bucket stays closed.
     """
-    x = bands if comp is None else bands.join(comp, "node", "left").select("band", "hash", "node", "weight", F.coalesce("comp", "node").alias("comp"))
-    x = x.withColumn("comp", F.col("node")) if comp is None else x
-    left = x if done is None else x.join(done, ["band", "hash", "node"], "left_anti")
-    left = shared.materialise(left, "open")
+    x = bands.withColumn("comp", F.col("node")) if comp is None else bands.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    x = x.select("band", "hash", "node", "weight", "done", "comp")
+    left = x.where("not done")
     if comp is None:
-        state = left.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_ = state.where("lo != hi").select("band", "hash", F.lit(None).cast("bigint").alias("main"))
+        open_ = left.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "hash", F.lit(None).cast("bigint").alias("main"))
     else:
         sizes = left.groupBy("band", "hash", "comp").agg(F.count("*").alias("n"))
-        state = sizes.groupBy("band", "hash").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main"))
-        open_ = state.where("comps > 1").select("band", "hash", F.col("main.comp").alias("main"))
-    open_ = shared.materialise(open_, "buckets")
-    live = left.join(open_, ["band", "hash"])
-    slot = F.pmod(F.xxhash64("node"), F.lit(centres))
-    chosen = live.where(F.col("main").isNull() | (F.col("comp") != F.col("main"))).groupBy("band", "hash", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "weight")).alias("c"))
+        open_ = sizes.groupBy("band", "hash").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1").select("band", "hash", F.col("main.comp").alias("main"))
+    live = shared.materialise(x.join(shared.materialise(open_, "buckets"), ["band", "hash"]), "open")
+    slot = F.pmod(F.xxhash64("node"), F.lit(many))
+    chosen = live.where(~F.col("done") & (F.col("main").isNull() | (F.col("comp") != F.col("main")))).groupBy("band", "hash", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "weight")).alias("c"))
     chosen = shared.materialise(chosen.select("band", "hash", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"), F.col("c.weight").alias("wa")), "centres")
-    # Members that were centres before have been compared with these; members not yet centres have not.
-    pairs = left.join(chosen, ["band", "hash"]).where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("comp")))
-    return pairs, chosen
+    return live, chosen
 
 
-def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, centres: tuple[int, ...] = CENTRES) -> tuple[DataFrame | None, DataFrame]:
+def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, centres: tuple[int, ...] = CENTRES) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) found between representatives, and their components; sig has one row for each word sequence."""
     bands = sig.select("node", "weight", F.posexplode(F.array(*_BAND_NAMES)).alias("band", "hash"))
     shares = bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
     shares = shared.materialise(shares, "shared-bands")
-    bands = shared.materialise(bands, "bands")
-    bands = shared.materialise(bands.join(shares, ["band", "hash"]).select("band", "hash", "node", "weight"), "candidates")
+    bands = shared.materialise(bands.join(shares, ["band", "hash"]).select("band", "hash", "node", "weight", F.lit(False).alias("done")), "candidates")
+    if not bands.head(1):
+        return None, None
     tables = tables_of(bands.select("node").distinct())
-    comp = done = found = tried = None
-    turn = 0
+    comp = found = tried = None
     shared.small_batches(sig.sparkSession, 64)  # two whole tables a row
+    turn = 0
     while True:
-        pairs, chosen = _candidates(bands, comp, done, centres[min(turn, len(centres) - 1)])
+        live, chosen = _centres(bands, comp, centres[min(turn, len(centres) - 1)])
         if not chosen.head(1):
             return found, comp
-        fits = F.least("wa", "weight") >= F.greatest("wa", "weight") * (similarity - 1e-6)
-        pairs = pairs.where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        # Members that were centres before have been compared with everybody in the bucket.
+        pairs = live.where("not done").join(chosen, ["band", "hash"]).where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("comp")))
+        pairs = pairs.where(F.least("wa", "weight") >= F.greatest("wa", "weight") * (similarity - 1e-6))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = shared.materialise(pairs, "pairs")
         new = shared.materialise(_verify(pairs, tables, similarity), "links")
-        found = new if found is None else found.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        comp = components(found)
-        centre = chosen.select("band", "hash", F.col("a").alias("node"))
-        done = centre if done is None else done.unionByName(centre)
+        if found is None or new.head(1):
+            found = new if found is None else found.unionByName(new)
+            comp = components(found)
+        was = chosen.select("band", "hash", F.col("a").alias("node"), F.lit(True).alias("was"))
+        bands = live.select("band", "hash", "node", "weight", "done").join(was, ["band", "hash", "node"], "left")
+        bands = bands.select("band", "hash", "node", "weight", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done"))
         turn += 1
 
 
