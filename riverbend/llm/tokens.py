@@ -15,7 +15,7 @@ A file (one per range of doc_id, documents in ascending doc_id order) is:
 Any zstandard tool can unpack a file; a reader of some documents reads the tail
 and only the frames that hold them.
 
-Texts are encoded word by word: chunks between white space are encoded once per
+Texts are encoded word by word: chunks between ASCII white space are encoded once per
 task by the tokenizers library and remembered by
 the Python worker in a table of bounded size, which gives the same ids as encoding the whole text, as tests check (the vocabulary's
 pre-tokeniser never joins across white space).
@@ -51,8 +51,8 @@ FILE_BYTES = 64 << 20
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Distinct chunks remembered by one task.
 REMEMBERED = 1 << 20
-#: White space of the Unicode White_Space property, as the tokenizer splits; fixed values.
-SPACES = r"\t-\r\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Bytes of text encoded at once; chunks are looked up once for all of them.
+ENCODE_BYTES = 8 << 20
 
 
 def _word_pieces(tokenizer) -> bool:
@@ -148,7 +148,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of texts); null counts as empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        lists = pc.split_pattern_regex(texts, "[" + SPACES + "]+")
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.number) + len(names) > self.remembered:
@@ -272,9 +272,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
         end = np.array([end_id], np.uint32)
 
         def pieces() -> Iterator[bytes]:
-            for b in batches:
-                ids, offsets = encoder.encode(b.column(1))
-                for i, doc in enumerate(b.column(0).to_pylist()):
+            for docs, texts in _gathered(batches):
+                ids, offsets = encoder.encode(texts)
+                for i, doc in enumerate(docs.to_pylist()):
                     yield from writer.add(doc, np.concatenate([ids[offsets[i]:offsets[i + 1]], end]))
             yield from writer.finish()
 
@@ -302,6 +302,25 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
     return spark.createDataFrame(out, "file bigint, uri string, first_start bigint, n_docs bigint, n_ids bigint")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Columns of consecutive batches put together up to ENCODE_BYTES."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= ENCODE_BYTES:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    whole = pa.Table.from_batches(held)
+    return whole.column(0).combine_chunks(), pa.concat_arrays([c.cast(pa.large_string()) for c in whole.column(1).chunks])
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the manifest's files, from the files."""
     spark = manifest.sparkSession
