@@ -9,7 +9,8 @@ positions hold the template's constants; any other line is a template of its
 own. Templates that occur in at least ``MIN_DOCS`` documents are recurring, and
 their lines are dropped from all documents.
 
-Counts are combined before each shuffle and lines travel as hashes; texts are
+Counts are combined before each shuffle; lines travel as 64-bit hashes, and tokens (compared within one leaf and
+position only) as 32-bit ones. Texts are
 joined only by leaf (an outer join Spark can split where a leaf is frequent)
 and by doc_id. Nothing gathers a template's lines or documents.
 
@@ -64,7 +65,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING,
     # A leaf of one line has that line as its template; only leaves of several lines need their tokens.
     mixed = leaves.where("kinds > 1").select("leaf", "total")
     flat = docs.select(F.explode(F.transform(_lines(text), lambda x: F.struct(leaf(x, leading).alias("leaf"), x.alias("text")))).alias("x")).select("x.leaf", "x.text")
-    texts = flat.join(mixed, "leaf").select("leaf", F.xxhash64("text").alias("line"), F.transform(_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("tokens"))
+    texts = flat.join(mixed, "leaf").select("leaf", F.xxhash64("text").alias("line"), F.transform(_tokens(F.col("text")), lambda t: F.hash(t)).alias("tokens"))
     texts = shared.materialise(texts.dropDuplicates(["leaf", "line"]).join(kinds, ["leaf", "line"]), "tokens")
     at = texts.select("leaf", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     constant = at.join(mixed, "leaf").where(F.col("n") * 2 > F.col("total")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("constants"))
@@ -88,7 +89,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEA
     dropped, seen = recurring(docs, min_docs, leading, likeness)
     mine = seen.join(dropped.select("line"), "line").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__drop"))
     rows = docs.select(F.struct("*").alias("__row"))
-    x = rows.join(shared.materialise(mine, "drops"), F.col("__row.doc_id").cast("bigint").eqNullSafe(F.col("__doc")), "left")
+    # Always the same plan, so that what is shuffled follows the input at every size.
+    x = rows.join(shared.materialise(mine, "drops").hint("merge"), F.col("__row.doc_id").cast("bigint").eqNullSafe(F.col("__doc")), "left")
     text = F.col("__row.text").cast("string")
     all_lines = F.split(text, "\n")
     drop = F.coalesce("__drop", F.array().cast("array<bigint>"))
