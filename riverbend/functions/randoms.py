@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,8 +101,6 @@ def random_bytes(_: Context, n: Value, seed: Value | None = None) -> Value:
     if size <= 240:
         return Value(F.unhex(_hex_digits(2 * size)), L.BYTES)
 
-    import pandas as pd
-
     def grow(seeds: pd.Series) -> pd.Series:
         return pd.Series([hashlib.shake_128(s.encode()).digest(size) for s in seeds])
 
