@@ -9,15 +9,17 @@
 2. Each distinct word sequence gets ``BANDS`` x ``ROWS`` samples, hashed by band.
    Documents with one word sequence form a copy class at once (combined before
    the shuffle), so groups of copies of any size go on as one representative.
-3. Representatives that share a band hash are candidates. Buckets are never
-   expanded into all pairs: in each round a few members of every open bucket
-   are centres and compared with all its members of other components; found
-   links join components, and a bucket is closed when the members that were no
-   centre yet lie in one component. Every candidate pair of different components
-   is compared, so no link between different texts is lost; the number of
-   centres grows by rounds, so even a bucket of unlike texts ends.
-4. Comparisons use whole shingle tables of both texts and the exact weighted
-   Jaccard similarity; total weights rule out pairs first (J <= min/max).
+3. Representatives that share a band are candidates. Buckets are never expanded
+   into all pairs: in each of three rounds a few members of every open bucket are
+   centres and are compared with its members of other components; found links join
+   components, and a bucket is closed when the members that were no centre yet
+   lie in one component. What is left outside a bucket's largest component is
+   then compared with all its members in blocks, within tasks, each pair in its
+   first common band only, and only links come out. So every candidate pair of
+   different components is compared, and no link between different texts is lost.
+4. Total weights (J <= min/max) and the samples themselves (``MATCHES`` of all)
+   rule out pairs first. Comparisons then use the whole shingle tables of both
+   texts and the exact weighted Jaccard similarity.
 5. Components come from label propagation with pointer jumping on links
    between representatives, in DataFrames, each round written to the shared folder.
 
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverbend.llm import shared, words
@@ -45,11 +47,16 @@ from riverbend.llm import shared, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
+#: Of all samples, how many two texts must share to be compared. Texts of similarity 0.8 share fewer with a chance of 1e-7.
+MATCHES = BANDS * ROWS // 2
 DF_BUCKETS = 1 << 18
 #: Draws per hash function that shingles are mapped to.
 DRAWS = 1 << 14
-#: Centres for each bucket by round; the last repeats.
-CENTRES = (1, 64, 4096)
+#: By round, from which members of an open bucket centres are taken and how many: anywhere first, then in the largest component,
+#: which pulls in what is left at a cost of what is left. What is still left then is compared in blocks.
+ROUNDS = (("any", 1), ("main", 1), ("main", 4))
+#: Members of a bucket in one block of the last comparison.
+BLOCK = 256
 
 _rng = np.random.default_rng(77)
 _K = BANDS * ROWS
@@ -106,7 +113,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 
 
 def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Band hashes (rows x BANDS) by improved consistent weighted sampling.
+    """Bands (rows x BANDS) by improved consistent weighted sampling: each is the 16-bit fragments of its ROWS samples side by side.
 
     For hash k and shingle s of weight w: t = floor(ln w / r + beta), ln y = r (t - beta), ln a = ln c - ln y - r; the sample
     is the (s, t) of least a.
@@ -129,7 +136,7 @@ def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) ->
         first = at[np.searchsorted(segment[at], np.arange(start.size))]
         pick = words.mix(shingle[first] * _TURN[k] + (t[first].astype(np.int64) + (1 << 20)).astype(np.uint64))
         band = k // ROWS
-        out[present, band] = words.mix(out[present, band] * np.uint64(31) + pick)
+        out[present, band] = (out[present, band] << np.uint64(16)) | (pick & np.uint64(0xFFFF))
     return out
 
 
@@ -169,8 +176,25 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return float(common / (wa.sum() + wb.sum() - common))
 
 
+def _shared_samples(side: str, other: str) -> Column:
+    """How many samples the bands of two texts share: 16-bit lanes without a difference."""
+    total = F.lit(0)
+    for b in _BAND_NAMES:
+        apart = F.col(f"{side}.{b}").bitwiseXOR(F.col(f"{other}.{b}"))
+        for lane in range(ROWS):
+            total = total + (F.shiftrightunsigned(apart, 16 * lane).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
+    return total
+
+
+def _likely(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts share MATCHES samples; 112 bytes a text are shuffled."""
+    marks = sig.select("node", F.struct(*_BAND_NAMES).alias("bands"))
+    x = pairs.join(marks.select(F.col("node").alias("a"), F.col("bands").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("bands").alias("mb")), "b")
+    return x.where(_shared_samples("ma", "mb") >= MATCHES).select("a", "b")
+
+
 def _verify(pairs: DataFrame, tables: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the pairs with at least the similarity. Tables are shuffled, a centre's to each slice of its partners."""
+    """(a, b) of the pairs with at least the similarity. Both tables of each pair are shuffled."""
     x = pairs.join(tables.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(tables.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +223,10 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _centres(bands: DataFrame, comp: DataFrame | None, many: int) -> tuple[DataFrame, DataFrame]:
-    """(members of open buckets with their components, the centres of the round).
+def _open(bands: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Members of open buckets with their components, and each bucket's main component (the one with most members that were no centre).
 
-    bands: band, hash, node, weight, done (it was a centre, so it is compared with everybody already). A bucket is open while its
-    other members lie in more than one component; centres are taken outside the largest of these. A closed bucket stays closed.
+    bands: band, hash, node, weight, done (it was a centre, so it is compared with everybody already). A closed bucket stays closed.
     """
     x = bands.withColumn("comp", F.col("node")) if comp is None else bands.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     x = x.select("band", "hash", "node", "weight", "done", "comp")
@@ -213,14 +236,53 @@ def _centres(bands: DataFrame, comp: DataFrame | None, many: int) -> tuple[DataF
     else:
         sizes = left.groupBy("band", "hash", "comp").agg(F.count("*").alias("n"))
         open_ = sizes.groupBy("band", "hash").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1").select("band", "hash", F.col("main.comp").alias("main"))
-    live = shared.materialise(x.join(shared.materialise(open_, "buckets"), ["band", "hash"]), "open")
-    slot = F.pmod(F.xxhash64("node"), F.lit(many))
-    chosen = live.where(~F.col("done") & (F.col("main").isNull() | (F.col("comp") != F.col("main")))).groupBy("band", "hash", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "weight")).alias("c"))
-    chosen = shared.materialise(chosen.select("band", "hash", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"), F.col("c.weight").alias("wa")), "centres")
-    return live, chosen
-
-
-def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, centres: tuple[int, ...] = CENTRES) -> tuple[DataFrame | None, DataFrame | None]:
+    return shared.materialise(x.join(shared.materialise(open_, "buckets"), ["band", "hash"]), "open")
+
+
+def _centres(live: DataFrame, turn: int, where: str, many: int) -> DataFrame:
+    draw = F.xxhash64("node", F.lit(turn))
+    among = F.lit(True) if where == "any" else F.col("comp") == F.col("main")
+    chosen = live.where(~F.col("done") & among).groupBy("band", "hash", F.pmod(draw, F.lit(many)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "node", "comp", "weight")).alias("c"))
+    return shared.materialise(chosen.select("band", "hash", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"), F.col("c.weight").alias("wa")), "centres")
+
+
+def _blocks(live: DataFrame, marks: DataFrame, tables: DataFrame, similarity: float) -> DataFrame:
+    """Links between what is outside a bucket's main component and all its members that were no centre, in blocks of BLOCK each."""
+    undone = live.where("not done").drop("done")
+    outside = F.col("comp") != F.col("main")
+    count = undone.groupBy("band", "hash").agg(F.ceil(F.sum(outside.cast("int")) / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"))
+    x = undone.join(shared.materialise(count, "block-counts"), ["band", "hash"])
+    draw = F.xxhash64("node", F.lit("block"))
+    i, j = F.pmod(draw, F.col("rows")).cast("int"), F.pmod(draw, F.col("cols")).cast("int")
+    keep = ["band", "hash", "node", "weight", "comp"]
+    one = x.where(outside).select(*keep, F.lit(0).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    two = x.select(*keep, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), j.alias("j"))
+    rows = one.unionByName(two).join(marks, "node").join(tables, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        side, node, comp, weight = (group[c].to_numpy() for c in ("side", "node", "comp", "weight"))
+        band = int(group["band"][0].as_py())
+        marks_ = np.stack([group[b].to_numpy() for b in _BAND_NAMES], 1)
+        packed = group["packed"].combine_chunks()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        outside_nodes = set(node[left].tolist())
+        out: list[tuple[int, int]] = []
+        for p in left:
+            q = right[comp[right] != comp[p]]
+            q = q[np.minimum(weight[q], weight[p]) >= np.maximum(weight[q], weight[p]) * (similarity - 1e-6)]
+            apart = marks_[q] ^ marks_[p]
+            q = q[(apart[:, :band] != 0).all(1) & ((np.ascontiguousarray(apart).view(np.uint16) == 0).sum(1) >= MATCHES)]
+            for k in q:
+                if node[k] < node[p] and node[k] in outside_nodes:
+                    continue  # the pair has its other end on the left too
+                if weighted_jaccard(packed[int(p)].as_buffer(), packed[int(k)].as_buffer()) >= similarity:
+                    out.append((min(node[p], node[k]), max(node[p], node[k])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return rows.groupBy("band", "hash", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, rounds: tuple[tuple[str, int], ...] = ROUNDS) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) found between representatives, and their components; sig has one row for each word sequence."""
     bands = sig.select("node", "weight", F.posexplode(F.array(*_BAND_NAMES)).alias("band", "hash"))
     shares = bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
@@ -228,14 +290,16 @@ def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, centres: tu
     bands = shared.materialise(bands.join(shares, ["band", "hash"]).select("band", "hash", "node", "weight", F.lit(False).alias("done")), "candidates")
     if not bands.head(1):
         return None, None
-    tables = tables_of(bands.select("node").distinct())
+    nodes = shared.materialise(bands.select("node").distinct(), "nodes")
+    marks = shared.materialise(sig.select("node", *_BAND_NAMES).join(nodes, "node"), "marks")
+    tables = tables_of(nodes)
     comp = found = tried = None
     shared.small_batches(sig.sparkSession, 64)  # two whole tables a row
-    turn = 0
-    while True:
-        live, chosen = _centres(bands, comp, centres[min(turn, len(centres) - 1)])
-        if not chosen.head(1):
+    for turn, (where, many) in enumerate(rounds):
+        live = _open(bands, comp)
+        if not live.head(1):
             return found, comp
+        chosen = _centres(live, turn, where, many)
         # Members that were centres before have been compared with everybody in the bucket.
         pairs = live.where("not done").join(chosen, ["band", "hash"]).where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("comp")))
         pairs = pairs.where(F.least("wa", "weight") >= F.greatest("wa", "weight") * (similarity - 1e-6))
@@ -243,7 +307,7 @@ def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, centres: tu
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = shared.materialise(pairs, "pairs")
-        new = shared.materialise(_verify(pairs, tables, similarity), "links")
+        new = shared.materialise(_verify(shared.materialise(_likely(pairs, marks), "likely"), tables, similarity), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found is None or new.head(1):
             found = new if found is None else found.unionByName(new)
@@ -251,7 +315,13 @@ def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, centres: tu
         was = chosen.select("band", "hash", F.col("a").alias("node"), F.lit(True).alias("was"))
         bands = live.select("band", "hash", "node", "weight", "done").join(was, ["band", "hash", "node"], "left")
         bands = bands.select("band", "hash", "node", "weight", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done"))
-        turn += 1
+    live = _open(bands, comp)
+    if live.head(1):
+        new = shared.materialise(_blocks(live, marks, tables, similarity), "links")
+        if new.head(1):
+            found = found.unionByName(new)
+            comp = components(found)
+    return found, comp
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -269,7 +339,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         """Whole shingle tables of the candidates; a node's text is read at the row with its smallest doc_id (and digest)."""
         rows = reps.select(F.col("d1").alias("node"), "first").join(nodes, "node").where("first is not null")
         texts = docs.select(F.col("doc_id").cast("bigint").alias("first"), F.col("text").cast("string").alias("text"))
-        picked = texts.join(shared.materialise(rows, "wanted"), "first").select("node", "text")
+        # Always the same plan, so that what is shuffled follows the input at every size.
+        picked = texts.join(shared.materialise(rows, "wanted").hint("merge"), "first").select("node", "text")
         return shared.materialise(_shingle_tables(picked, idf, repeated), "tables")
 
     found, comp = links(reps.withColumnRenamed("d1", "node"), tables_of, similarity)
