@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverbend.llm import ann, decontam, langid, linededup, mixing, neardup, quality, tokens, urls, warc
+from riverbend.llm import ann, decontam, langid, linededup, mixing, neardup, oracles, quality, tokens, urls, warc
 from riverbend.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -70,4 +70,4 @@ QUERIES = {
     for f in (op1_url_filter, op2_language_id, op3_nearest_neighbours, op4_token_files, op5_near_dedup, op6_warc, op7_mixing, op8_quality, op9_line_dedup, op10_decontaminate)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
