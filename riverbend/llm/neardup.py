@@ -157,7 +157,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
             weight = _weights(shingle, count, idf.value)
             bands = samples(row, shingle, weight, len(batch)).view(np.int64)
             total = np.bincount(row, weight, minlength=len(batch))
-            columns = [batch.column(0), pa.array([d and d[0] for d in digest], pa.int64()), pa.array([d and d[1] for d in digest], pa.int64()), pa.array(total)]
+            columns = [batch.column(0), pa.array([d and d[0] for d in digest], pa.int64()), pa.array([d and d[1] for d in digest], pa.int64()), pa.array(total, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(bands[:, i]) for i in range(BANDS)], names=["doc_id", "d1", "d2", "weight", *_BAND_NAMES])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
