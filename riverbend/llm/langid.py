@@ -148,9 +148,10 @@ def windows(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, hold_out: bool = True, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS, seed: int = 5) -> Network | None:
     """A network for the languages of the sampled labelled documents; None without any."""
     text = F.col("text").cast("string")
-    rows = docs.where(F.col("lang").isNotNull() & text.rlike(r"\p{L}"))
+    rows = docs.where(F.col("lang").isNotNull())
     if hold_out:
         rows = rows.where(~held_out(F.col("doc_id")))
+    rows = shared.bounded_sample(rows, F.struct(F.col("doc_id"), text), 2 * sample_docs).where(text.rlike(r"\p{L}"))
     h = F.xxhash64(text, F.lit("sample"))
     at = (F.pmod(F.xxhash64(text, F.lit("window")), F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.substr(text, at, F.lit(SAMPLE_CHARS)).alias("piece"), h.alias("h")).orderBy("h", "lang", "piece").limit(sample_docs).collect()

@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, hold_out: bool = True, sample_rows
     if hold_out:
         picked = picked.where(~held_out(F.col("doc_id")))
     picked = picked.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+    picked = shared.bounded_sample(picked, F.col("doc_id"), sample_rows)
     picked = shared.materialise(picked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows), "label-sample")
     rows = _inputs(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "n_chars", "y")  # at most sample_rows rows
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from riverbend.llm import shared, words
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -197,6 +197,7 @@ class UrlModel:
 def train(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> UrlModel | None:
     """Fits the trees on URLs that a rule labels; None without any."""
     labelled = ruled(pages, rules).where(F.col("ruling").isNotNull())
+    labelled = shared.bounded_sample(labelled, F.struct("page_id", "url"), sample_rows)
     rows = labelled.select("url", "host", (F.col("ruling") == "block").cast("double").alias("y"), F.xxhash64("page_id", "url").alias("h")).orderBy("h", "url").limit(sample_rows).collect()
     if not rows:
         return None
