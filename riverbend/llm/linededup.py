@@ -9,10 +9,9 @@ positions hold the template's constants; any other line is a template of its
 own. Templates that occur in at least ``MIN_DOCS`` documents are recurring, and
 their lines are dropped from all documents.
 
-Counts are combined before each shuffle; lines travel as 64-bit hashes, and tokens (compared within one leaf and
-position only) as 32-bit ones. Texts are
-joined only by leaf (an outer join Spark can split where a leaf is frequent)
-and by doc_id. Nothing gathers a template's lines or documents.
+Counts are combined before each shuffle. Lines travel as 64-bit hashes, and tokens (compared within one leaf and
+position only) as 32-bit ones. Texts are joined by leaf and by doc_id only, in joins that Spark can split where a
+key is frequent. Nothing gathers a template's lines or documents.
 
 Defined cases. Null text: stays null, no lines. Lines are cut at line feeds;
 lines without a token are never dropped. A line that a document repeats counts

@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from riverbend.llm import shared
 
 CHUNK_BYTES = 1 << 18
-#: Bytes of payload in one archive, roughly.
-ARCHIVE_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
@@ -90,7 +88,7 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return x.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, archives: int | None = None) -> DataFrame:
+def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes the archives; returns the manifest (uri, n_records). Files appear whole by rename; a retried task writes its file again."""
     spark = pages.sparkSession
     shared.small_batches(spark)
