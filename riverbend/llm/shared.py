@@ -28,6 +28,10 @@ def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a temp folder only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
+        if "://" not in root:  # a plain path is in Spark's default file system, whose name readers in Python need too
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+            root = "file://" + root[len("file:"):] if root.startswith("file:/") and not root.startswith("file://") else root
         return root.rstrip("/")
     fallback = getattr(shared_root, "fallback", None)
     if fallback is None:
