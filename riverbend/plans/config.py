@@ -42,6 +42,7 @@ class Flow:
     conflict: Conflict | None = None
     validation: Mapping[str, Any] = field(default_factory=dict)
     query_timeout: float | None = None
+    jitter: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -193,4 +194,5 @@ def _flow(name: str, x: dict, sources: dict, sinks: dict, storages: dict) -> Flo
         name, made, Sink(sink["name"], sink["type"], sink["config"], sink_options), x["storage"], x["from"], x["to"], given, fields,
         cursor.get("order", "asc") == "asc", seconds(cursor.get("interval", "1s")), limit or None, Conflict(tuple(conflict["key"]), conflict["strategy"]) if conflict else None,
         x.get("validation") or {}, seconds(x["query-timeout"]) if "query-timeout" in x else None,
+        seconds(cursor.get("jitter", 0)),
     )

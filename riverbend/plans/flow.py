@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -96,6 +97,8 @@ class Runner:
     def forever(self, stop: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time) -> Metrics:
         """Batches on the interval's grid, missed ticks skipped; after errors it waits longer and longer."""
         failures = 0
+        if self.flow.jitter:  # flows of one interval start apart, each always by the same time
+            sleep(zlib.crc32(self.flow.name.encode()) / 2**32 * self.flow.jitter)
         while not stop():
             try:
                 n, _ = self.batch()

@@ -92,6 +92,19 @@ def test_forever_backs_off_and_keeps_the_grid(spark, flow):
     assert waits == [1, 4, 0.75]
 
 
+def test_command_line(spark, flow, capsys, monkeypatch):
+    from riverbend.__main__ import main
+
+    f, root = flow
+    monkeypatch.setenv("ROOT", str(root))
+    path = str(root / "config.toml")
+    assert main(["validate", path]) == 0
+    assert main(["run", path, "--once"]) == 0
+    assert MergeTable(spark, str(root / "out/orders_enriched"), f.sink.schema(spark, "orders_enriched"), f.conflict).read().count() == 8
+    (root / "config.toml").write_text(ORDERS.replace("`price`", "`cost`"))
+    assert main(["validate", path]) == 1 and "cost" in capsys.readouterr().err
+
+
 def test_null_is_the_smallest_in_cursor_order(spark):
     df = spark.createDataFrame([(1, 1), (2, None), (3, 3), (4, None)], "id int, rank int")
     order = lambda state, up=True: [r["id"] for r in keyset.scan(df, ["rank", "id"], state, up, 10).collect()]
