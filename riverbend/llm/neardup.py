@@ -176,6 +176,30 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return float(common / (wa.sum() + wb.sum() - common))
 
 
+class _Tables:
+    """Packed shingle tables of a block, flat, so that one text is compared with many at once."""
+
+    def __init__(self, packed: pa.Array):
+        parts = [p.as_buffer() for p in packed]
+        self.sizes = np.array([len(p) // 12 for p in parts], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.shingle = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(parts, self.sizes, strict=True)])
+        self.weight = np.concatenate([np.frombuffer(p, "<f4", n, 8 * n) for p, n in zip(parts, self.sizes, strict=True)]).astype(np.float64)
+        self.total = np.add.reduceat(np.append(self.weight, 0), self.start[:-1]) * (self.sizes > 0)
+
+    def jaccard(self, p: int, q: np.ndarray) -> np.ndarray:
+        """Exact weighted Jaccard similarities of row p with the rows q."""
+        own = slice(self.start[p], self.start[p + 1])
+        s, w = self.shingle[own], self.weight[own]
+        n = self.sizes[q]
+        at = np.arange(n.sum()) + np.repeat(self.start[q] - (np.cumsum(n) - n), n)
+        other, row = self.shingle[at], np.repeat(np.arange(q.size), n)
+        place = np.minimum(np.searchsorted(s, other), s.size - 1)
+        both = s[place] == other
+        common = np.bincount(row[both], np.minimum(w[place[both]], self.weight[at[both]]), q.size)
+        return common / (self.total[p] + self.total[q] - common)
+
+
 def _shared_samples(side: str, other: str) -> Column:
     """How many samples the bands of two texts share: 16-bit lanes without a difference."""
     total = F.lit(0)
@@ -212,12 +236,12 @@ def components(links: DataFrame) -> DataFrame:
     with the logarithm of a component's diameter in practice. Minima are combined before each shuffle.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = shared.materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
+    label = shared.materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels", 2)
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         step = step.alias("s").join(label.select(F.col("node").alias("n2"), F.col("comp").alias("far")), F.col("s.comp") == F.col("n2"), "left")
-        step = shared.materialise(step.select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        step = shared.materialise(step.select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels", 2)
         label = step.select("node", "comp")
         if not step.where("comp != old").head(1):
             return label
@@ -236,14 +260,14 @@ def _open(bands: DataFrame, comp: DataFrame | None) -> DataFrame:
     else:
         sizes = left.groupBy("band", "hash", "comp").agg(F.count("*").alias("n"))
         open_ = sizes.groupBy("band", "hash").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1").select("band", "hash", F.col("main.comp").alias("main"))
-    return shared.materialise(x.join(shared.materialise(open_, "buckets"), ["band", "hash"]), "open")
+    return shared.materialise(x.join(shared.materialise(open_, "buckets", 2), ["band", "hash"]), "open", 2)
 
 
 def _centres(live: DataFrame, turn: int, where: str, many: int) -> DataFrame:
     draw = F.xxhash64("node", F.lit(turn))
     among = F.lit(True) if where == "any" else F.col("comp") == F.col("main")
     chosen = live.where(~F.col("done") & among).groupBy("band", "hash", F.pmod(draw, F.lit(many)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "node", "comp", "weight")).alias("c"))
-    return shared.materialise(chosen.select("band", "hash", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"), F.col("c.weight").alias("wa")), "centres")
+    return shared.materialise(chosen.select("band", "hash", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"), F.col("c.weight").alias("wa")), "centres", 2)
 
 
 def _blocks(live: DataFrame, marks: DataFrame, tables: DataFrame, similarity: float) -> DataFrame:
@@ -251,7 +275,7 @@ def _blocks(live: DataFrame, marks: DataFrame, tables: DataFrame, similarity: fl
     undone = live.where("not done").drop("done")
     outside = F.col("comp") != F.col("main")
     count = undone.groupBy("band", "hash").agg(F.ceil(F.sum(outside.cast("int")) / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"))
-    x = undone.join(shared.materialise(count, "block-counts"), ["band", "hash"])
+    x = undone.join(shared.materialise(count, "block-counts", 2), ["band", "hash"])
     draw = F.xxhash64("node", F.lit("block"))
     i, j = F.pmod(draw, F.col("rows")).cast("int"), F.pmod(draw, F.col("cols")).cast("int")
     keep = ["band", "hash", "node", "weight", "comp"]
@@ -263,20 +287,18 @@ def _blocks(live: DataFrame, marks: DataFrame, tables: DataFrame, similarity: fl
         side, node, comp, weight = (group[c].to_numpy() for c in ("side", "node", "comp", "weight"))
         band = int(group["band"][0].as_py())
         marks_ = np.stack([group[b].to_numpy() for b in _BAND_NAMES], 1)
-        packed = group["packed"].combine_chunks()
+        tables_ = _Tables(group["packed"].combine_chunks())
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        outside_nodes = set(node[left].tolist())
+        is_left = np.isin(node, node[left])
         out: list[tuple[int, int]] = []
         for p in left:
             q = right[comp[right] != comp[p]]
             q = q[np.minimum(weight[q], weight[p]) >= np.maximum(weight[q], weight[p]) * (similarity - 1e-6)]
             apart = marks_[q] ^ marks_[p]
             q = q[(apart[:, :band] != 0).all(1) & ((np.ascontiguousarray(apart).view(np.uint16) == 0).sum(1) >= MATCHES)]
-            for k in q:
-                if node[k] < node[p] and node[k] in outside_nodes:
-                    continue  # the pair has its other end on the left too
-                if weighted_jaccard(packed[int(p)].as_buffer(), packed[int(k)].as_buffer()) >= similarity:
-                    out.append((min(node[p], node[k]), max(node[p], node[k])))
+            q = q[(node[q] > node[p]) | ~is_left[q]]  # a pair with both ends on the left comes from its smaller node
+            if q.size:
+                out += [(min(node[p], node[k]), max(node[p], node[k])) for k in q[tables_.jaccard(int(p), q) >= similarity]]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return rows.groupBy("band", "hash", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
@@ -306,8 +328,8 @@ def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, rounds: tup
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = shared.materialise(pairs, "pairs")
-        new = shared.materialise(_verify(shared.materialise(_likely(pairs, marks), "likely"), tables, similarity), "links")
+        pairs = shared.materialise(pairs, "pairs", 2)
+        new = shared.materialise(_verify(shared.materialise(_likely(pairs, marks), "likely", 2), tables, similarity), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found is None or new.head(1):
             found = new if found is None else found.unionByName(new)
@@ -349,7 +371,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         of = of.select("d1", "d2", F.col("first").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
     else:
         ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-        comp = shared.materialise(comp.join(ends, "node"), "components")
+        comp = shared.materialise(comp.join(ends, "node"), "components", 2)
         of = of.join(comp.withColumnRenamed("node", "d1"), "d1", "left")
         by = of.where("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
         of = of.join(by, "comp", "left").select("d1", "d2", F.coalesce("least", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -50,11 +50,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, waves: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    With waves, it is written by at most that many tasks for each core of the cluster: for tables that are small beside the corpus.
+    """
     spark = df.sparkSession
     path = f"{new_folder(spark, label)}/table"
-    df.write.parquet(path)
+    (df if waves is None else df.coalesce(waves * max(spark.sparkContext.defaultParallelism, 2))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
