@@ -398,7 +398,10 @@ def _shingle_tables(picked: DataFrame, idf, repeated: bool) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: the one with the smallest doc_id (of repeated ids, one whole row); columns as given."""
+    """docs with one row of each class: the one with the smallest doc_id (of repeated ids, one whole row); columns as given.
+
+    Rows with a null doc_id can't be told apart by id and stay.
+    """
     found = shared.materialise(classes(docs, similarity), "members")
     drop = shared.materialise(found.where("doc_id != class_id").select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
     again = shared.materialise(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "repeated")
