@@ -1,11 +1,12 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-1. Document frequencies of all shingles, hashed into ``DF_BUCKETS`` counters
-   (each document counts once per bucket), summed over the whole corpus. The
-   table has a fixed size at any corpus size. A shingle's weight is its count in
-   the text times 1 + idf / max idf, so weights of one count differ by a factor
-   of 2 at most and a passage that many documents share does not outweigh what
-   tells them apart.
+1. A shingle's weight is its count in the text times 1 + idf / max idf, so
+   weights of one count differ by a factor of 2 at most and a passage that many
+   documents share does not outweigh what tells them apart. Candidates are
+   compared on exact document frequencies over the whole corpus, counted by
+   ranges of shingles after each task has combined its own. Only the samples
+   that find candidates take them from ``DF_BUCKETS`` hashed counters, a table of
+   a fixed size that tells frequencies apart less the larger the corpus is.
 2. Each distinct word sequence gets ``BANDS`` x ``ROWS`` samples, hashed by band.
    Documents with one word sequence form a copy class at once (combined before
    the shuffle), so groups of copies of any size go on as one representative.
@@ -17,8 +18,8 @@
    then compared with all its members in blocks, within tasks, each pair in its
    first common band only, and only links come out. So every candidate pair of
    different components is compared, and no link between different texts is lost.
-4. Total weights (J <= min/max) and the samples themselves (``MATCHES`` of all)
-   rule out pairs first. Comparisons then use the whole shingle tables of both
+4. Exact total weights (J <= min/max) and the samples themselves (``MATCHES`` of
+   all) rule out pairs first. Comparisons then use the whole shingle tables of both
    texts and the exact weighted Jaccard similarity.
 5. Components come from label propagation with pointer jumping on links
    between representatives, in DataFrames, each round written to the shared folder.
@@ -35,6 +36,7 @@ their names.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,8 @@ BANDS, ROWS = 14, 4
 #: Of all samples, how many two texts must share to be compared. Texts of similarity 0.8 share fewer with a chance of 1e-7.
 MATCHES = BANDS * ROWS // 2
 DF_BUCKETS = 1 << 18
+#: Shingles that a task combines before they are counted, shingles of a range on average, and the least number of ranges.
+COMBINED, RANGE, RANGES = 1 << 20, 1 << 20, 256
 #: Draws per hash function that shingles are mapped to.
 DRAWS = 1 << 14
 #: By round, from which members of an open bucket centres are taken and how many: anywhere first, then in the largest component,
@@ -88,8 +92,8 @@ def _bucket(shingle: np.ndarray) -> np.ndarray:
     return (words.mix(shingle) % np.uint64(DF_BUCKETS)).astype(np.int64)
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """The weight of each document-frequency bucket (float32, DF_BUCKETS entries)."""
+def idf_table(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The weight of each document-frequency bucket (float32, DF_BUCKETS entries), the number of rows, and of what all buckets count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DF_BUCKETS, np.int64), 0
@@ -109,9 +113,119 @@ def idf_table(docs: DataFrame) -> np.ndarray:
             df[r["bucket"]] = r["n"]
         else:
             n = r["n"]
+    return _weight_of(df, n), n, int(df.sum())
+
+
+def _weight_of(df: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(2 + n)).astype(np.float32)
 
 
+def _range_bits(total: int) -> int:
+    return (max(RANGES, -(-total // RANGE)) - 1).bit_length()
+
+
+def _by_range(shingle: np.ndarray, n: np.ndarray | None, bits: int, bundle: int | None) -> Iterator[pa.RecordBatch]:
+    """Ascending shingles cut by their leading bits: part, bundle, shingles, n (packed), in batches of about 4 MB."""
+    part = (shingle >> np.uint64(48 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if part.size else np.empty(0, np.int64)
+    ends = np.append(cut[1:], part.size)
+    step = max(1, cut.size * (1 << 18) // max(part.size, 1))
+    for k in range(0, cut.size, step):
+        some = [slice(a, b) for a, b in zip(cut[k:k + step].tolist(), ends[k:k + step].tolist(), strict=True)]
+        packed = [None if n is None else n[x].astype("<u4").tobytes() for x in some]
+        columns = [pa.array(part[cut[k:k + step]]), pa.array([bundle] * len(some), pa.int64()), pa.array([shingle[x].astype("<u8").tobytes() for x in some], pa.binary()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "bundle", "shingles", "n"])
+
+
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The packed values of all rows, and how many each row has."""
+    parts = [np.frombuffer(p.as_buffer(), kind) if p.is_valid else np.empty(0, kind) for p in column]
+    return np.concatenate([np.empty(0, kind), *parts]), np.array([p.size for p in parts], np.int64)
+
+
+def exact_weights(docs: DataFrame, made: DataFrame, n: int, total: int) -> DataFrame:
+    """node, packed (shingles and weights), weight (total): made's tables (node, packed with counts) with exact document frequencies of docs.
+
+    Shingles are counted by ranges of their hashes, so a range is a bounded part of the corpus; a task sends a shingle once for
+    ``COMBINED`` of its own, so a shingle of many documents is a number beside it and not many rows. The tables ask by bundle.
+    """
+    bits = _range_bits(total)
+    limit = COMBINED
+
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            name = int.from_bytes(os.urandom(8), "little", signed=True)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([[x for x, _ in held]], pa.list_(pa.int64())), pa.array([[p for _, p in held]], pa.list_(pa.binary()))], names=["bundle", "nodes", "tables"])
+
+        for batch in batches:
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and size + len(packed) > limit * 3:
+                    yield out()
+                    held, size = [], 0
+                held.append((node, packed))
+                size += len(packed)
+        if held:
+            yield out()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from _by_range(np.unique(np.concatenate([np.frombuffer(p, "<u8", len(p) // 12) for p in packed])), None, bits, bundle)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            shingle = _tables(batch.column(0))[1]
+            held.append(shingle)
+            size += shingle.size
+            if size >= limit:
+                yield from _by_range(*np.unique(np.concatenate(held), return_counts=True), bits, None)
+                held, size = [], 0
+        if size:
+            yield from _by_range(*np.unique(np.concatenate(held), return_counts=True), bits, None)
+
+    def answer(group: pa.Table) -> pa.Table:
+        asked = np.asarray(group["bundle"].is_valid())
+        counted = group.filter(pa.array(~asked))
+        asks = group.filter(pa.array(asked))
+        wanted, sizes = _flat(asks["shingles"], "<u8")
+        keys = np.unique(wanted)
+        df = np.zeros(keys.size, np.int64)
+        for s, k in zip(counted["shingles"], counted["n"], strict=True):
+            shingle, many = np.frombuffer(s.as_buffer(), "<u8"), np.frombuffer(k.as_buffer(), "<u4")
+            if keys.size:
+                at = np.minimum(np.searchsorted(keys, shingle), keys.size - 1)
+                same = keys[at] == shingle
+                df[at[same]] += many[same]  # a row has a shingle once
+        found = df[np.searchsorted(keys, wanted)].astype("<u4") if keys.size else np.empty(0, "<u4")
+        ends = np.cumsum(sizes)
+        packed = [found[b - k:b].tobytes() for b, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        return pa.table({"part": asks["part"], "bundle": asks["bundle"], "df": pa.array(packed, pa.binary())})
+
+    def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
+        packed = [p for row in left["tables"].to_pylist() for p in row]
+        nodes = [x for row in left["nodes"].to_pylist() for x in row]
+        df, _ = _flat(right.sort_by("part")["df"], "<u4")
+        shingles = [np.frombuffer(p, "<u8", len(p) // 12) for p in packed]
+        keys = np.unique(np.concatenate([np.empty(0, "<u8"), *shingles]))
+        weight_of = _weight_of(df.astype(np.float64), n)
+        out, totals = [], []
+        for p, s in zip(packed, shingles, strict=True):
+            w = (np.frombuffer(p, "<f4", s.size, 8 * s.size) * weight_of[np.searchsorted(keys, s)]).astype("<f4")
+            out.append(s.tobytes() + w.tobytes())
+            totals.append(float(w.astype(np.float64).sum()))
+        return pa.table({"node": pa.array(nodes, pa.int64()), "packed": pa.array(out, pa.binary()), "weight": pa.array(totals, pa.float64())})
+
+    schema = "part bigint, bundle bigint, shingles binary, n binary"
+    held = shared.materialise(made.mapInArrow(bundles, "bundle bigint, nodes array<bigint>, tables array<binary>"), "bundles")
+    asks = held.select("bundle", "tables").mapInArrow(ask, schema)
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, schema)
+    found = shared.materialise(asks.unionByName(counts).groupBy("part").applyInArrow(answer, "part bigint, bundle bigint, df binary"), "frequencies")
+    return held.groupBy("bundle").cogroup(found.groupBy("bundle")).applyInArrow(weigh, "node bigint, packed binary, weight double")
+
+
 def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Bands (rows x BANDS) by improved consistent weighted sampling: each is the 16-bit fragments of its ROWS samples side by side.
 
@@ -148,17 +262,16 @@ _BAND_NAMES = [f"b{i}" for i in range(BANDS)]
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, d1, d2 (digest of the word sequence; null without words), weight (total), b0 ... band hashes."""
-    schema = "doc_id bigint, d1 bigint, d2 bigint, weight double, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES)
+    """doc_id, d1, d2 (digest of the word sequence; null without words), b0 ... band hashes."""
+    schema = "doc_id bigint, d1 bigint, d2 bigint, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, shingle, count, digest = _tables(batch.column(1))
             weight = _weights(shingle, count, idf.value)
             bands = samples(row, shingle, weight, len(batch)).view(np.int64)
-            total = np.bincount(row, weight, minlength=len(batch))
-            columns = [batch.column(0), pa.array([d and d[0] for d in digest], pa.int64()), pa.array([d and d[1] for d in digest], pa.int64()), pa.array(total, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(bands[:, i]) for i in range(BANDS)], names=["doc_id", "d1", "d2", "weight", *_BAND_NAMES])
+            columns = [batch.column(0), pa.array([d and d[0] for d in digest], pa.int64()), pa.array([d and d[1] for d in digest], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(bands[:, i]) for i in range(BANDS)], names=["doc_id", "d1", "d2", *_BAND_NAMES])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -306,15 +419,17 @@ def _blocks(live: DataFrame, marks: DataFrame, tables: DataFrame, similarity: fl
 
 def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, rounds: tuple[tuple[str, int], ...] = ROUNDS) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) found between representatives, and their components; sig has one row for each word sequence."""
-    bands = sig.select("node", "weight", F.posexplode(F.array(*_BAND_NAMES)).alias("band", "hash"))
+    bands = sig.select("node", F.posexplode(F.array(*_BAND_NAMES)).alias("band", "hash"))
     shares = bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
     shares = shared.materialise(shares, "shared-bands")
-    bands = shared.materialise(bands.join(shares, ["band", "hash"]).select("band", "hash", "node", "weight", F.lit(False).alias("done")), "candidates")
+    bands = shared.materialise(bands.join(shares, ["band", "hash"]).select("band", "hash", "node"), "candidates")
     if not bands.head(1):
         return None, None
     nodes = shared.materialise(bands.select("node").distinct(), "nodes")
     marks = shared.materialise(sig.select("node", *_BAND_NAMES).join(nodes, "node"), "marks")
     tables = tables_of(nodes)
+    bands = bands.join(tables.select("node", "weight"), "node").withColumn("done", F.lit(False))
+    tables = tables.select("node", "packed")
     comp = found = tried = None
     shared.small_batches(sig.sparkSession, 64)  # two whole tables a row
     for turn, (where, many) in enumerate(rounds):
@@ -350,9 +465,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, links (verified links of its text), for every row of docs."""
     spark = docs.sparkSession
     shared.small_batches(spark)
-    idf = spark.sparkContext.broadcast(idf_table(docs))
+    table, n, total = idf_table(docs)
+    idf = spark.sparkContext.broadcast(table)
     sig = shared.materialise(signatures(docs, idf), "signatures")
-    reps = sig.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("weight").alias("weight"), *[F.min(b).alias(b) for b in _BAND_NAMES])
+    reps = sig.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.min(b).alias(b) for b in _BAND_NAMES])
     reps = shared.materialise(reps, "representatives")
 
     repeated = bool(sig.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1))
@@ -363,7 +479,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("bigint").alias("first"), F.col("text").cast("string").alias("text"))
         # Always the same plan, so that what is shuffled follows the input at every size.
         picked = texts.join(shared.materialise(rows, "wanted").hint("merge"), "first").select("node", "text")
-        return shared.materialise(_shingle_tables(picked, idf, repeated), "tables")
+        return shared.materialise(exact_weights(docs, _shingle_tables(picked, repeated), n, total), "tables")
 
     found, comp = links(reps.withColumnRenamed("d1", "node"), tables_of, similarity)
     of = reps.select("d1", "d2", "first", "copies")
@@ -380,17 +496,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return x.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-def _shingle_tables(picked: DataFrame, idf, repeated: bool) -> DataFrame:
-    """Shingle tables by node; where a doc_id is repeated with other texts, only the text of the node's own digest counts."""
+def _shingle_tables(picked: DataFrame, repeated: bool) -> DataFrame:
+    """Shingle tables by node, with counts; where a doc_id is repeated with other texts, only the text of the node's own digest counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, shingle, count, digest = _tables(batch.column(1))
-            weight = _weights(shingle, count, idf.value).astype("<f4")
             at = np.searchsorted(row, np.arange(len(batch) + 1))
             nodes = batch.column(0).to_pylist()
             own = [i for i, d in enumerate(digest) if d and d[0] == nodes[i]]
-            packed = [shingle[at[i]:at[i + 1]].astype("<u8").tobytes() + weight[at[i]:at[i + 1]].tobytes() for i in own]
+            packed = [shingle[at[i]:at[i + 1]].astype("<u8").tobytes() + count[at[i]:at[i + 1]].astype("<f4").tobytes() for i in own]
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in own], pa.int64()), pa.array(packed, pa.binary())], names=["node", "packed"])
 
     made = picked.mapInArrow(run, "node bigint, packed binary")
