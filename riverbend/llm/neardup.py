@@ -81,11 +81,15 @@ def _tables(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     key, count = np.unique((row.astype(np.uint64) << np.uint64(48)) | (shingle >> np.uint64(16)), return_counts=True)
     row = (key >> np.uint64(48)).astype(np.int64)
     shingle = key & np.uint64((1 << 48) - 1)
+    return row, shingle, count, _word_digests(hashes, offsets)
+
+
+def _word_digests(hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int] | None]:
     digest: list[tuple[int, int] | None] = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         d = hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None
         digest.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)) if d else None)
-    return row, shingle, count, digest
+    return digest
 
 
 def _bucket(shingle: np.ndarray) -> np.ndarray:
@@ -463,6 +467,12 @@ def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, rounds: tup
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, links (verified links of its text), for every row of docs."""
+    x = _members(docs, similarity)
+    return x.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+def _members(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, d1, d2, class_id, links and stays for every row of docs: stays marks the rows with the class's smallest doc_id and, of its texts, the least digest."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     table, n, total = idf_table(docs)
@@ -484,16 +494,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found, comp = links(reps.withColumnRenamed("d1", "node"), tables_of, similarity)
     of = reps.select("d1", "d2", "first", "copies")
     if found is None:
-        of = of.select("d1", "d2", F.col("first").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+        of = of.select("d1", "d2", F.col("first").alias("class_id"), F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("kept"))
     else:
         ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
         comp = shared.materialise(comp.join(ends, "node"), "components", 2)
         of = of.join(comp.withColumnRenamed("node", "d1"), "d1", "left")
-        by = of.where("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
-        of = of.join(by, "comp", "left").select("d1", "d2", F.coalesce("least", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        by = of.where("comp is not null").groupBy("comp").agg(F.min(F.struct("first", "d1", "d2")).alias("least"))
+        kept = F.col("least").isNull() | ((F.col("least.d1") == F.col("d1")) & (F.col("least.d2") == F.col("d2")))
+        of = of.join(by, "comp", "left").select("d1", "d2", F.coalesce("least.first", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), kept.alias("kept"))
     of = shared.materialise(of, "classes")
     x = sig.select("doc_id", "d1", "d2").join(of, ["d1", "d2"], "left")
-    return x.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return x.withColumn("stays", F.col("d1").isNull() | (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id"))))
 
 
 def _shingle_tables(picked: DataFrame, repeated: bool) -> DataFrame:
@@ -512,18 +523,33 @@ def _shingle_tables(picked: DataFrame, repeated: bool) -> DataFrame:
     return made.dropDuplicates(["node"]) if repeated else made
 
 
+def _digest(text: Column) -> Column:
+    """The digest (d1, d2) of a text's word sequence, as in signatures; null without words."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([d and {"d1": d[0], "d2": d[1]} for d in _word_digests(*words.batch_words(column))], pa.struct([("d1", pa.int64()), ("d2", pa.int64())]))
+
+    return F.arrow_udf(run, "d1 bigint, d2 bigint")(text)
+
+
 def drop_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: the one with the smallest doc_id (of repeated ids, one whole row); columns as given.
+    """docs with one row of each class: the one with the smallest doc_id; columns as given.
 
-    Rows with a null doc_id can't be told apart by id and stay.
+    Rows are told apart by doc_id and word sequence, so other texts under one doc_id stay or go by their own class. Of copies without an
+    id one stays if no copy has an id. Rows without a word stay, but equal rows (doc_id, text) that have an id are one.
     """
-    found = shared.materialise(classes(docs, similarity), "members")
-    drop = shared.materialise(found.where("doc_id != class_id").select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
-    again = shared.materialise(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "repeated")
-    rows = docs.select(F.struct("*").alias("__row"))
-    rows = rows.join(drop, F.col("__row.doc_id").cast("bigint") == F.col("__drop"), "left_anti")
+    found = shared.materialise(_members(docs, similarity).select("doc_id", "d1", "d2", "stays"), "members")
+    names = [F.col("doc_id").alias("__i"), F.col("d1").alias("__1"), F.col("d2").alias("__2")]
+    drop = shared.materialise(found.where("not stays").select(*names).distinct(), "dropped")
+    again = found.where("stays and (doc_id is not null or d1 is not null)").groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("n")).where("n > 1")
+    again = shared.materialise(again.select(*names), "repeated")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("bigint").alias("__id"), _digest(F.col("text").cast("string")).alias("__d"))
+    rows = rows.select("__row", "__id", F.col("__d.d1").alias("__d1"), F.col("__d.d2").alias("__d2"))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__d1").eqNullSafe(F.col("__1")) & F.col("__d2").eqNullSafe(F.col("__2"))
+    rows = rows.join(drop, same, "left_anti")
     if not again.head(1):
         return rows.select("__row.*")
-    same = F.col("__row.doc_id").cast("bigint") == F.col("__again")
     once = rows.join(again, same, "left_anti").select("__row.*")
-    return once.unionByName(rows.join(again, same, "left_semi").select("__row.*").dropDuplicates(["doc_id"]))
+    # Without words, a row is the same only if its text is.
+    twice = rows.join(again, same, "left_semi").withColumn("__own", F.when(F.col("__d1").isNull(), F.col("__row.text").cast("string")))
+    return once.unionByName(twice.dropDuplicates(["__id", "__d1", "__d2", "__own"]).select("__row.*"))

@@ -300,6 +300,14 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert neardup.classes(none).count() == 0 and neardup.drop_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
+    rng = np.random.default_rng(12)
+    one, two, three, four = (" ".join(f"{p}{x}" for x in rng.integers(0, 1 << 30, 200)) for p in "abcd")
+    rows = [(5, one), (9, one + " end"), (9, two), (9, three), (9, three.upper()), (None, four), (None, four), (None, one), (7, "!"), (7, "?"), (7, "?"), (None, "!"), (None, "!")]
+    kept = neardup.drop_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], three if r["text"] == three.upper() else r["text"]) for r in kept) == Counter([(5, one), (9, two), (9, three), (None, four), (7, "!"), (7, "?"), (None, "!"), (None, "!")])
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     s = np.unique(rng.integers(0, 1 << 48, 900, dtype=np.uint64))
