@@ -96,20 +96,22 @@ def jdbc_options(kind: str, config: Mapping[str, Any], table: str) -> dict[str,
 def documents(spark: SparkSession, config: Mapping[str, Any], table: str) -> DataFrame:
     """A document collection: JSON lines, each kept whole as VARIANT in ``document``, with the fields of ``schema`` beside it.
 
-    Without a schema it is sampled (``sample`` documents), and fields of several types stay VARIANT.
+    Without a schema it comes from all documents, in a pass of its own: every field has a column, of a type that holds all its values.
+    Fields of several types, and numbers that only a double holds together, stay VARIANT. A value that does not convert is an error there.
     """
     lines = spark.read.text(f"{config['path'].rstrip('/')}/{table}.jsonl").where(F.trim("value") != "")
     whole = lines.select(F.parse_json("value").alias("document"))
-    schema = config.get("schema") or sampled_schema(whole, int(config.get("sample", 1000)))
-    return whole.select(*[F.try_variant_get("document", f"$['{n}']", t).alias(n) for n, t in schema.items()], "document")
+    schema = config.get("schema")
+    get = F.try_variant_get if schema else F.variant_get
+    return whole.select(*[get("document", f"$['{n}']", t).alias(n) for n, t in (schema or found_schema(whole)).items()], "document")
 
 
-def sampled_schema(whole: DataFrame, n: int) -> dict[str, str]:
-    found = whole.orderBy(F.xxhash64(F.to_json("document"))).limit(n).select(F.schema_of_variant_agg("document").alias("s")).first()["s"]
+def found_schema(whole: DataFrame) -> dict[str, str]:
+    found = whole.select(F.schema_of_variant_agg("document").alias("s")).first()["s"]
     fields = T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<", 1)) if found and found.startswith("OBJECT<") and "VARIANT" not in found and found.count("OBJECT<") == 1 and "ARRAY" not in found else None
     if fields is not None:
-        return {f.name: f.dataType.simpleString() if f.dataType.simpleString() != "void" else "variant" for f in fields.fields}
-    keys = whole.limit(n).select(F.explode(F.json_object_keys(F.to_json("document"))).alias("k")).distinct().orderBy("k").limit(1000).collect()
+        return {f.name: f.dataType.simpleString() if f.dataType.simpleString() not in ("void", "double") else "variant" for f in fields.fields}
+    keys = whole.select(F.explode(F.json_object_keys(F.to_json("document"))).alias("k")).distinct().orderBy("k").collect()
     return {r["k"]: "variant" for r in keys}
 
 

@@ -33,6 +33,17 @@ def test_documents(spark, tmp_path):
     assert {"_id", "name", "n", "document"} <= set(sampled.columns)
 
 
+def test_documents_unlike_the_first_thousand(spark, tmp_path):
+    lines = [f'{{"_id": {i}, "n": {i}, "m": 1.5}}' for i in range(3000)] + ['{"_id": 3000, "n": "x", "late": true}', '{"_id": 3001, "m": 12345678901.123456}', '{"_id": 3002, "m": 1e300}']
+    (tmp_path / "mixed.jsonl").write_text("\n".join(lines))
+    (tmp_path / "wide.jsonl").write_text("\n".join(lines[:3000] + lines[3001:3002]))
+    rows = Source("m", "mongodb", {"path": str(tmp_path)}).read(spark, "mixed")
+    got = {r["_id"]: r for r in rows.where("cast(_id as bigint) >= 3000").select(F.col("_id").cast("bigint").alias("_id"), *[F.to_json(c).alias(c) for c in ("n", "m", "late")]).collect()}
+    assert (got[3000]["n"], got[3000]["late"], float(got[3002]["m"])) == ('"x"', "true", 1e300) and got[3001]["m"] == "12345678901.123456"
+    wide = Source("m", "mongodb", {"path": str(tmp_path)}).read(spark, "wide")
+    assert dict(wide.dtypes)["_id"] == "bigint" and str(wide.where("_id = 3001").first()["m"]) == "12345678901.123456"
+
+
 def test_jdbc_options():
     got = jdbc_options("postgres", {"url": "postgres://u:p@h:5432/db", "partition-column": "id", "lower-bound": 1, "upper-bound": 9, "partitions": 4}, "public.t")
     assert got["url"] == "jdbc:postgresql://h:5432/db" and got["user"] == "u" and got["password"] == "p" and got["numPartitions"] == "4" and got["dbtable"] == "public.t"
