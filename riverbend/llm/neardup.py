@@ -466,7 +466,7 @@ def links(sig: DataFrame, tables_of, similarity: float = SIMILARITY, rounds: tup
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, links (verified links of its text), for every row of docs."""
+    """doc_id, class_id, links (spanning links found at its text, not all texts that are like it), for every row of docs."""
     x = _members(docs, similarity)
     return x.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 

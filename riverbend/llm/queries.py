@@ -36,7 +36,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's class id (the smallest doc_id of its class) and the number of verified links of its text."""
+    """Every document's class id (the smallest doc_id of its class) and links, the spanning links found at its text.
+
+    Pairs that are in one class already are not compared, so links is no count of like texts and depends on hashes and rounds.
+    """
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
