@@ -6,7 +6,7 @@ A file (one per range of doc_id, documents in ascending doc_id order) is:
   consecutive documents, about ``FRAME_IDS`` ids (a longer document has a frame
   of its own);
 * a skippable frame (magic 0x184D2A5D) with the zstd-packed document index:
-  doc_id, frame, first id in the frame, number of ids (int64 little-endian);
+  whether there is a doc_id, doc_id (0 if not), frame, first id in the frame, number of ids (int64 little-endian);
 * a skippable frame (magic 0x184D2A5E) with the seek table of the public
   seekable format: per frame compressed size, decompressed size, checksum (low
   32 bits of XXH64 of the content), then frame count, descriptor 0x80, and
@@ -20,8 +20,8 @@ task by the tokenizers library and remembered by
 the Python worker in a table of bounded size, which gives the same ids as encoding the whole text, as tests check (the vocabulary's
 pre-tokeniser never joins across white space).
 
-Defined cases. Null or empty text: only the end id. Null doc_id: ordered first.
-Repeated rows are all written, equal doc_ids in any order of equal rows, else
+Defined cases. Null or empty text: only the end id. Null doc_id: ordered first,
+kept apart from every number. Repeated rows are all written, equal doc_ids in any order of equal rows, else
 by text. Empty table: no files, empty result. Other columns are ignored.
 """
 
@@ -49,10 +49,10 @@ FRAME_IDS = 1 << 16
 #: Bytes of text in one file, roughly.
 FILE_BYTES = 64 << 20
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct chunks remembered by one task.
-REMEMBERED = 1 << 20
+#: Distinct chunks that a worker remembers, about, and the characters of all of them by this many for each.
+REMEMBERED, CHUNK_CHARS = 1 << 18, 16
 #: Bytes of text encoded at once; chunks are looked up once for all of them.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 
 
 def _word_pieces(tokenizer) -> bool:
@@ -106,21 +106,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.by_model = _word_pieces(self.tokenizer)
         self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.chars = 0
         self.offsets = np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.int64)
 
-    def _add(self, chunk: str, ids: list[int]) -> None:
+    def _forget(self) -> None:
+        """Keeps the chunks that came most often, half of what is remembered at most; the others are encoded anew when they come again."""
+        names, seen = list(self.number), self.seen[:len(self.number)]
+        known = np.flatnonzero(seen > 1)
+        kept = np.sort(known[np.argsort(-seen[known], kind="stable")[:self.remembered // 2]])
+        kept = kept[[len(names[i]) <= 4 * CHUNK_CHARS for i in kept.tolist()]] if kept.size else kept
+        old, ids, counts = self.offsets, self.ids, seen[kept] // 2
+        self.number, self.used, self.chars, self.pieces = {}, 0, 0, {}
+        self.ids, self.offsets, self.seen = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        for i in kept.tolist():
+            self._add(names[i], ids[old[i]:old[i + 1]])
+        self.seen[:kept.size] = counts
+
+    def _add(self, chunk: str, ids) -> None:
         n = len(self.number)
+        self.chars += len(chunk)
         if self.used + len(ids) > self.ids.size:
             self.ids = np.concatenate([self.ids, np.empty(max(self.ids.size, len(ids)), np.uint32)])
         if n + 2 > self.offsets.size:
             self.offsets = np.concatenate([self.offsets, np.empty_like(self.offsets)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.ids[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
         self.number[chunk] = n
@@ -137,7 +150,9 @@ class WordEncoder:
             for piece in _PIECES.findall(chunk.lower()):
                 got = known.get(piece)
                 if got is None:
-                    got = known[piece] = [t.id for t in model.tokenize(_byte_symbols(piece))]
+                    got = [t.id for t in model.tokenize(_byte_symbols(piece))]
+                    if len(piece) <= CHUNK_CHARS:
+                        known[piece] = got
                 ids += got
             self._add(chunk, ids)
         for a in range(0, len(rest), 4096):
@@ -151,12 +166,15 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.number) + len(names) > self.remembered:
+        if len(self.number) > self.remembered or self.chars > self.remembered * CHUNK_CHARS:
             self._forget()
+        if len(self.pieces) > self.remembered // 2:
+            self.pieces.clear()
         new = [x for x in names if x not in self.number]
         if new:
             self._learn(new)
         numbers = np.fromiter((self.number[x] for x in names), np.int64, len(names))
+        self.seen[numbers] += 1
         chunk = numbers[np.asarray(coded.indices)] if names else np.empty(0, np.int64)
         offsets = self.offsets
         size = offsets[chunk + 1] - offsets[chunk]
@@ -174,12 +192,12 @@ class FrameWriter:
         self.pending: list[np.ndarray] = []
         self.held = 0
         self.seek: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int]] = []
+        self.index: list[tuple[int, int, int, int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[bytes]:
         if self.held and self.held + ids.size > self.frame_ids:
             yield self._frame()
-        self.index.append((-1 if doc_id is None else doc_id, len(self.seek), self.held, ids.size))
+        self.index.append((int(doc_id is not None), doc_id or 0, len(self.seek), self.held, ids.size))
         self.pending.append(ids)
         self.held += ids.size
 
@@ -193,7 +211,7 @@ class FrameWriter:
     def finish(self) -> Iterator[bytes]:
         if self.held:
             yield self._frame()
-        index = self.packer.compress(np.array(self.index, "<i8").reshape(-1, 4).T.tobytes())
+        index = self.packer.compress(np.array(self.index, "<i8").reshape(-1, 5).T.tobytes())
         yield struct.pack("<II", INDEX_MAGIC, len(index)) + index
         table = b"".join(struct.pack("<III", *x) for x in self.seek) + struct.pack("<IBI", len(self.seek), CHECKSUMS, SEEK_END)
         yield struct.pack("<II", SEEK_MAGIC, len(table)) + table
@@ -222,7 +240,8 @@ class TokenFile:
         magic, length = struct.unpack("<II", raw[:8])
         if magic != INDEX_MAGIC or length != len(raw) - 8:
             raise ValueError(f"{uri} has a broken document index")
-        self.doc_id, self.frame_of, self.first, self.count = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:]), "<i8").reshape(4, -1)
+        has, self.doc_id, self.frame_of, self.first, self.count = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:]), "<i8").reshape(5, -1)
+        self.has_id = has.astype(bool)
 
     def frame(self, k: int) -> np.ndarray:
         packed, size, checksum = (int(x) for x in self.seek[k])
@@ -232,19 +251,23 @@ class TokenFile:
             raise ValueError(f"frame {k} fails its checksum")
         return np.frombuffer(raw, "<u4")
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """All documents in order; one frame is held at a time."""
+        yield from self._rows(np.arange(self.doc_id.size))
+
+    def _rows(self, at: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
         now, ids = -1, None
-        for doc, k, first, n in zip(self.doc_id.tolist(), self.frame_of.tolist(), self.first.tolist(), self.count.tolist(), strict=True):
+        columns = (x[at].tolist() for x in (self.has_id, self.doc_id, self.frame_of, self.first, self.count))
+        for has, doc, k, first, n in zip(*columns, strict=True):
             if k != now:
                 now, ids = k, self.frame(k)
-            yield doc, ids[first:first + n]
+            yield doc if has else None, ids[first:first + n]
 
-    def read(self, doc_ids) -> dict[int, np.ndarray]:
-        """Ids of the requested documents; only frames that hold them are unpacked."""
-        at = np.flatnonzero(np.isin(self.doc_id, list(doc_ids)))
-        frames = {k: self.frame(k) for k in sorted({int(x) for x in self.frame_of[at]})}
-        return {int(self.doc_id[i]): frames[int(self.frame_of[i])][self.first[i]:self.first[i] + self.count[i]] for i in at}
+    def read(self, doc_ids) -> list[tuple[int | None, np.ndarray]]:
+        """(doc_id, ids) of every row of the requested documents (None: of rows without an id); only frames that hold them are unpacked."""
+        wanted = set(doc_ids)
+        numbers = np.array(sorted(wanted - {None}), np.int64)
+        return list(self._rows(np.flatnonzero(np.where(self.has_id, np.isin(self.doc_id, numbers), None in wanted))))
 
     def close(self) -> None:
         self.file.close()
@@ -289,7 +312,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
             yield from stream
 
         shared.write_atomically(uri, rest())
-        n_ids = sum(x[3] for x in writer.index)
+        n_ids = sum(x[4] for x in writer.index)
         yield pa.RecordBatch.from_pydict({"file": [number], "uri": [uri], "n_docs": [len(writer.index)], "n_ids": [n_ids]})
 
     made = ranged.mapInArrow(run, "file bigint, uri string, n_docs bigint, n_ids bigint")
@@ -335,7 +358,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 f = TokenFile(uri)
                 out: list[tuple] = []
                 for doc, ids in f:
-                    out.append((None if doc == -1 else doc, start, ids.size, zlib.crc32(ids.tobytes())))
+                    out.append((doc, start, ids.size, zlib.crc32(ids.tobytes())))
                     start += ids.size
                     if len(out) == 8192:
                         yield _rows(out)

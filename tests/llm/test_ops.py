@@ -182,6 +182,30 @@ def test_encoder_gives_the_tokenizers_ids():
             assert ids[offsets[i]:offsets[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_a_missing_id_is_no_number(spark, tmp_path):
+    rows = [(None, "without"), (-1, "minus one"), (0, "zero"), (0, "zero again"), (5, None), (-(1 << 63), "least")]
+    path = queries.tokenizer_path()
+    manifest = tokens.write(spark.createDataFrame(rows, "doc_id bigint, text string"), path, f"file://{tmp_path}", files=1)
+    assert [r["doc_id"] for r in tokens.read(manifest).orderBy("start").collect()] == [None, -(1 << 63), -1, 0, 0, 5]
+    f, e = tokens.TokenFile(manifest.first()["uri"]), tokens.WordEncoder(path)
+    want = lambda t: [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    for wanted in ([-1], [None], [0], [None, -1, 5], []):
+        got = sorted((str(i), ids.tolist()) for i, ids in f.read(wanted))
+        assert got == sorted((str(i), want(t)) for i, t in rows if i in wanted)
+    f.close()
+
+
+def test_the_encoders_memory_is_bounded_and_keeps_what_is_frequent():
+    e = tokens.WordEncoder(queries.tokenizer_path(), remembered=300)
+    common = [f"common{i}" for i in range(40)]
+    for k in range(30):
+        text = " ".join(common + [f"rare{k}x{i}" for i in range(50)] + ["z" * 900 + str(k)])
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(e.number) <= 300 + 91 and len(e.pieces) <= 150 + 4 * 91
+    assert all(c in e.number for c in common)
+
+
 def test_token_files_round_trip(spark, tmp_path, odd, none):
     path = queries.tokenizer_path()
     e = tokens.WordEncoder(path)
@@ -201,7 +225,7 @@ def test_token_files_round_trip(spark, tmp_path, odd, none):
         f = tokens.TokenFile(r["uri"])
         f.frame, frames, real = (lambda k: frames.append(k) or real(k)), [], f.frame
         some = [int(x) for x in f.doc_id[:1]]
-        for i, ids in f.read(some).items():
+        for i, ids in f.read(some):
             assert ids[-1] == 2 and i in some
         assert len(set(frames)) <= len(set(f.frame_of[np.isin(f.doc_id, some)].tolist()))
         import zstandard
