@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riverbend import types as L
 from riverbend.expr.tree import ExprError
 from riverbend.expr.values import Value, fail, guarded, to_json
-from riverbend.functions.casts import FALSE, FLOAT32_MAX, RANGES, TRUE, cut_decimal, trimmed, uuid_text
+from riverbend.functions.casts import FALSE, FLOAT32_MAX, RANGES, TRUE, cut, cut_decimal, cut_float, trimmed, uuid_text
 from riverbend.functions.outside import vectorised
 from riverbend.functions.text import render
 
@@ -90,7 +90,9 @@ def _to_decimal(v: Value, t: L.Type) -> Column:
     if v.type.is_integer:
         return v.col.cast(f"decimal({p},{s})")
     if v.type.is_float:
-        return F.when(F.isnan(v.col) | (F.abs(v.col) == float("inf")), fail("Overflow: not a number", t)).otherwise(cut_decimal(render(v), p, s))
+        return F.when(F.isnan(v.col) | (F.abs(v.col) == float("inf")), fail("Overflow: not a number", t)).otherwise(cut_float(v.col, p, s))
+    if v.type.kind == "Decimal":
+        return cut(v.col, p, s)
     return cut_decimal(v.col.cast("string"), p, s)
 
 

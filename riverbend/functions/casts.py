@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riverbend import types as L
 from riverbend.expr.tree import ExprError
 from riverbend.expr.values import NUMERIC, Context, Value, constant, fail, function, guarded, need
-from riverbend.functions.text import SPACE, render
+from riverbend.functions.text import SPACE, _plain_float, render
 
 RANGES = {k: (-(1 << (b - 1)), (1 << (b - 1)) - 1) for k, b in L.INT_BITS.items()} | {k: (0, (1 << b) - 1) for k, b in L.UINT_BITS.items()}
 FLOAT32_MAX = 3.4028234663852886e38
@@ -145,9 +145,31 @@ def to_decimal(_: Context, v: Value, precision: Value, scale: Value) -> Value:
         raise ExprError("toDecimal takes a precision of 1 to 38 and a scale of at most that")
     v = need("toDecimal", v, *NUMERIC, "Text")
     t = L.decimal(p, s)
+    if v.type.is_float:
+        return Value(guarded(F.isnan(v.col) | (F.abs(v.col) == float("inf")), "toDecimal: not a decimal", cut_float(v.col, p, s), t), t)
+    if v.type.kind == "Decimal" and v.type.precision is not None:
+        return Value(cut(v.col, p, s), t)
     return Value(cut_decimal(trimmed(v.col) if v.type.kind == "Text" else render(v), p, s), t)
 
 
+def cut(d: Column, p: int, s: int) -> Column:
+    """A decimal as decimal(p, s), digits beyond s cut."""
+    return F.when(d < 0, F.ceil(d, F.lit(s))).otherwise(F.floor(d, F.lit(s))).cast(f"decimal({p},{s})")
+
+
+def cut_float(x: Column, p: int, s: int) -> Column:
+    """A finite float's shortest decimal form as decimal(p, s), digits beyond s cut.
+
+    That form has 17 digits at most, so a decimal of 38 digits holds it exactly if its scale follows the magnitude: 22 digits after the
+    point from 1 to 1e15, and one at most beyond. Below 1 it may have more than 38, of which a scale over 20 could see a rounded one.
+    """
+    if s > 20:
+        return cut_decimal(_plain_float(x), p, s)
+    size, text = F.abs(x), x.cast("string")
+    of = lambda scale: cut(text.cast(f"decimal(38,{scale})"), p, s)
+    return F.when(size < 1, of(38)).when(size < 1e15, of(22)).when(size < 1e36, of(2)).otherwise(text.cast("decimal(38,0)").cast(f"decimal({p},{s})"))
+
+
 def cut_decimal(text: Column, p: int, s: int) -> Column:
     """A plain decimal text as decimal(p, s), digits beyond s cut."""
     short = F.regexp_replace(text, rf"^([+-]?[0-9]*)(?:(\.[0-9]{{0,{s}}})[0-9]*)?$", "$1$2") if s else F.regexp_replace(text, r"^([+-]?[0-9]*)\.?[0-9]*$", "$1")

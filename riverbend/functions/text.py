@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,19 +17,34 @@ SPACE = r"[\t-\r\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f
 def _plain_float(x: Column) -> Column:
     """A float without exponent and without a trailing .0: 1, 0.1, 100000000000000000000, NaN, inf."""
     s = x.cast("string")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_extract(s, r"^-?([0-9.]+)", 1)
-    power = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    part = F.regexp_replace(F.when(F.instr(mantissa, ".") > 0, F.substring_index(mantissa, ".", -1)).otherwise(F.lit("")), "0+$", "")
-    digits = F.concat(whole, part)
-    point = F.char_length(whole) + power
-    count = F.char_length(digits)
-    big = F.concat(digits, F.repeat(F.lit("0"), F.greatest(point - count, F.lit(0))))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), digits)
-    inner = F.concat(F.substr(digits, F.lit(1), F.greatest(point, F.lit(0))), F.lit("."), F.substr(digits, F.greatest(point, F.lit(0)) + 1, count))
-    number = F.when(digits.rlike("^0*$"), F.lit("0")).when(point >= count, F.regexp_replace(big, "^0+(?=[0-9])", "")).when(point <= 0, F.regexp_replace(small, "0+$", "")).otherwise(inner)
-    return F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf")).when(x.isNotNull(), F.concat(sign, number))
+    named = F.when(s == "Infinity", F.lit("inf")).when(s == "-Infinity", F.lit("-inf"))
+    return named.when(s.contains("E"), bound(s, _without_exponent)).otherwise(F.regexp_replace(s, r"\.0$", ""))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _without_exponent(s: Column) -> Column:
+    """The plain form of a text like -1.25E-7: its digits, and where among them the point stands."""
+    found = F.struct(
+        F.regexp_extract(s, r"^(-?)", 1).alias("sign"), F.regexp_extract(s, r"^-?([0-9]+)", 1).alias("whole"), F.regexp_replace(F.regexp_extract(s, r"\.([0-9]+)E", 1), "0+$", "").alias("part"),
+        F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int").alias("power"),
+    )
+
+    def placed(f: Column) -> Column:
+        digits = F.concat(f["whole"], f["part"])
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -f["power"] - F.char_length(f["whole"])), digits)  # below 0.001 there is one whole digit
+        return F.concat(f["sign"], F.when(f["power"] < 0, F.regexp_replace(small, "0+$", "")).otherwise(_shifted(f["whole"], f["part"], f["power"])))
+
+    return bound(found, placed)
+
+
+def _shifted(whole: Column, part: Column, power: Column) -> Column:
+    long = F.char_length(part) > power
+    inner = F.concat(whole, F.substr(part, F.lit(1), power), F.lit("."), F.substr(part, power + 1, F.char_length(part)))
+    return F.when(long, inner).otherwise(F.concat(whole, F.rpad(part, power, "0")))
 
 
 def _instant(x: Column) -> Column:

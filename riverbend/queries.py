@@ -187,7 +187,7 @@ FLOW = {
 def flow_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An orders flow's whole mapping: rename, lookup, computed columns, conversions to the sink's types."""
     out = bulk(config.build(FLOW).flows["orders"], spark.read.parquet(f"{sf_dir}/orders.parquet"), CLOCK)
-    return out.withColumn("total", F.floor(F.col("total").cast("double")).cast("bigint")).withColumn("ingested_at", F.unix_millis("ingested_at")).withColumn("placed_on", F.date_format("placed_on", "yyyy-MM-dd"))
+    return out.withColumn("total", (F.col("total") * 100).cast("bigint")).withColumnRenamed("total", "total_cents").withColumn("ingested_at", F.unix_millis("ingested_at")).withColumn("placed_on", F.date_format("placed_on", "yyyy-MM-dd"))
 
 
 def keyset_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +255,7 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         "l_orderkey", "l_linenumber",
         convert(number, L.INT64).col.alias("widened"), lossy(part, L.INT8).col.cast("bigint").alias("saturated"), lossy(price, L.INT32).col.cast("bigint").alias("cut"), lossy(price, L.INT16).col.cast("bigint").alias("small"),
-        lossy(price, L.BOOL).col.alias("truth"), F.floor(lossy(price, L.decimal(12, 1)).col).cast("bigint").alias("fixed"), convert(number, L.TEXT).col.alias("words"), lossy(flag, L.Type("Text", size=1)).col.alias("short"),
+        lossy(price, L.BOOL).col.alias("truth"), (lossy(price, L.decimal(12, 1)).col * 10).cast("bigint").alias("fixed_tenths"), convert(number, L.TEXT).col.alias("words"), lossy(flag, L.Type("Text", size=1)).col.alias("short"),
         F.date_format(lossy(day, L.DATE).col, "yyyy-MM-dd").alias("day"), convert(number, L.FLOAT64).col.alias("real"), convert(number, L.BOOL).col.alias("some"),
     )
 
@@ -266,7 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "flow_orders": "SELECT o_orderkey AS id, o_custkey AS customer, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS status, floor(floor(o_totalprice * 1.1 * 100 + 0.0000001) / 100)::bigint AS total, "
+    "flow_orders": "SELECT o_orderkey AS id, o_custkey AS customer, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS status, (regexp_extract((o_totalprice * 1.1)::varchar, '^-?[0-9]+([.][0-9]{1,2})?')::decimal(14,2) * 100)::bigint AS total_cents, "
                    "if(o_totalprice > 150000, 'big', 'small') AS label, o_orderpriority[1]::int AS priority, 'order ' || o_orderkey || '/' || o_orderstatus AS full_name, strftime(o_orderdate, '%Y-%m-%d') AS placed_on, 1709209815250::bigint AS ingested_at FROM orders",
     **{name: sql for name in EXPRESSIONS if (sql := expression_sql(name))},
     "keyset_batch": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber LIMIT 500",
@@ -275,5 +275,5 @@ ORACLE_SQL: dict[str, str] = {
     "mapping_wildcard": "SELECT n_nationkey::bigint AS n_nationkey, n_name, n_regionkey::varchar AS n_regionkey, n_name AS packed_name FROM nation",
     "lookup_join": "SELECT c_custkey, c_nationkey, coalesce(n_name, 'none') AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0",
     "conversions": "SELECT l_orderkey, l_linenumber, l_linenumber::bigint AS widened, least(l_partkey, 127)::bigint AS saturated, trunc(l_extendedprice)::bigint AS cut, least(trunc(l_extendedprice), 32767)::bigint AS small, l_extendedprice <> 0 AS truth, "
-                   "floor(l_extendedprice)::bigint AS fixed, l_linenumber::varchar AS words, l_returnflag[1] AS short, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linenumber::double AS real, l_linenumber <> 0 AS some FROM lineitem",
+                   "(regexp_extract(l_extendedprice::varchar, '^-?[0-9]+([.][0-9])?')::decimal(14,1) * 10)::bigint AS fixed_tenths, l_linenumber::varchar AS words, l_returnflag[1] AS short, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linenumber::double AS real, l_linenumber <> 0 AS some FROM lineitem",
 }
