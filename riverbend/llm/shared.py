@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ROWS_PER_BATCH = 512
+_ROWS_PER_BATCH, _BYTES_PER_BATCH = 512, 2 << 20
+#: Bytes of a row group in intermediate tables, which a writing task holds in memory.
+_ROW_GROUP = 16 << 20
 _owned: list[str] = []
 
 
@@ -25,7 +31,7 @@ atexit.register(_cleanup)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temp folder only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temp folder only where it is unset and the driver runs all tasks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         if "://" not in root:  # a plain path is in Spark's default file system, whose name readers in Python need too
@@ -33,6 +39,8 @@ def shared_root(spark: SparkSession) -> str:
             root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
             root = "file://" + root[len("file:"):] if root.startswith("file:/") and not root.startswith("file://") else root
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors and the driver need a folder that all of them see")
     fallback = getattr(shared_root, "fallback", None)
     if fallback is None:
         fallback = "file://" + tempfile.mkdtemp(prefix="riverbend-")
@@ -42,14 +50,29 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh shared folder's URI (local ones are removed when the driver's Python ends)."""
+    """A fresh shared folder's URI (``clear`` removes it; a local one goes when the driver's Python ends)."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     if path.startswith("file://"):
         os.makedirs(path[len("file://"):], exist_ok=True)
         _owned.append(path[len("file://"):])
+    else:
+        _stored.append(path)
     return path
 
 
+_stored: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all folders made so far, in any store that Spark writes to: once the results that read them are written elsewhere."""
+    for path in _stored + ["file://" + x for x in _owned]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    fallback = getattr(shared_root, "fallback", "")
+    _stored.clear()
+    _owned[:] = [x for x in _owned if "file://" + x == fallback]
+
+
 def materialise(df: DataFrame, label: str, waves: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
 
@@ -57,13 +80,45 @@ def materialise(df: DataFrame, label: str, waves: int | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{new_folder(spark, label)}/table"
-    (df if waves is None else df.coalesce(waves * max(spark.sparkContext.defaultParallelism, 2))).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if waves is None else df.coalesce(waves * max(spark.sparkContext.defaultParallelism, 2))).write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_places: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(made: DataFrame) -> None:
+    """Removes the table of a frame that materialise returned, once nothing reads it any more."""
+    ref, path = _places.pop(id(made), (lambda: None, ""))
+    if ref() is made:
+        place = made.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(made.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 10_000, "spark.sql.execution.arrow.maxBytesPerBatch": 64 << 20}
+
+
+def small_batches(spark: SparkSession, rows: int = _ROWS_PER_BATCH, size: int = _BYTES_PER_BATCH) -> None:
+    """Bounds the rows and bytes of one Arrow batch, since whole texts can be long: for frames that are run later. The session's limits are only lowered."""
+    for (key, usual), most in zip(_LIMITS.items(), (rows, size), strict=True):
+        now = spark.conf.get(key, str(usual))
+        if now.startswith("-") or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= most:
+            spark.conf.set(key, str(most))
 
 
-def small_batches(spark: SparkSession, rows: int = _ROWS_PER_BATCH) -> None:
-    """Bounds the rows of one Arrow batch, since whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def batches(spark: SparkSession, rows: int = _ROWS_PER_BATCH, size: int = _BYTES_PER_BATCH) -> Iterator[None]:
+    """Bounds Arrow batches for what is run within; the session's limits come back after it."""
+    before = {key: spark.conf.get(key, None) for key in _LIMITS}
+    for key, most in zip(_LIMITS, (rows, size), strict=True):
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def filesystem(uri: str):

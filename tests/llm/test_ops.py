@@ -332,6 +332,68 @@ def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
     assert Counter((r["doc_id"], three if r["text"] == three.upper() else r["text"]) for r in kept) == Counter([(5, one), (9, two), (9, three), (None, four), (7, "!"), (7, "?"), (None, "!"), (None, "!")])
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    rng = np.random.default_rng(21)
+    base, lone = (" ".join(f"{p}{x}" for x in rng.integers(0, 1 << 30, 200)) for p in "ab")
+    rows = [(7, base), (None, base + " end"), (None, lone), (None, lone + " more"), (None, base + " end"), (-3, "one two three")]
+    got = Counter((r["doc_id"], r["class_id"]) for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == Counter([(7, 7), (None, 7), (None, 7), (None, None), (None, None), (-3, -3)]) == brute_classes(rows)
+    kept = neardup.drop_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(kept) == 3 and {(r["doc_id"], r["text"]) for r in kept} < set(rows) and {r["doc_id"] for r in kept} == {7, None, -3}
+
+
+def test_one_id_on_many_texts(spark):
+    """A third of the rows has one doc_id; each is compared by its own text."""
+    rng = np.random.default_rng(22)
+    texts = [" ".join(f"t{i}x{x}" for x in rng.integers(0, 1 << 30, 60)) for i in range(60)]
+    rows = [(5, t) for t in texts] + [(100 + i, t + " end") for i, t in enumerate(texts[:30])]
+    got = Counter((r["doc_id"], r["class_id"]) for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), matches=0).collect())
+    assert got == brute_classes(rows) == Counter({(5, 5): 60, **{(100 + i, 5): 1 for i in range(30)}})
+
+
+def test_a_bucket_of_many_unlike_members(spark):
+    """All share one band and nothing else: the comparison in blocks carries samples only, and no pair goes on to the tables."""
+    n = 5000
+    rng = np.random.default_rng(23)
+    bands = rng.integers(-(1 << 62), 1 << 62, (n, neardup.BANDS))
+    bands[:, 3] = 99
+    weight = np.exp(rng.normal(5, 1.5, n))
+    nodes = [i.to_bytes(25, "big") for i in range(n)]
+    sig = spark.createDataFrame(pa.table({"node": nodes, **{f"b{k}": bands[:, k] for k in range(neardup.BANDS)}}))
+    packed = [np.uint64(i).tobytes() + np.float32(w).tobytes() for i, w in enumerate(weight)]
+    tables = spark.createDataFrame(pa.table({"node": nodes, "packed": packed, "weight": weight}))
+    asked = []
+    real, neardup._verify = neardup._verify, lambda pairs, *a: (asked.append(pairs.count()), real(pairs, *a))[1]
+    try:
+        found, comp = neardup.links(sig, lambda nodes: tables)
+    finally:
+        neardup._verify = real
+    assert found.count() == 0 and comp.count() == 0 and sum(asked) == 0
+
+
+def test_packed_shingles_come_back():
+    rng = np.random.default_rng(24)
+    for s in (np.empty(0, np.uint64), np.array([5], np.uint64), np.array([0, 1 << 47], np.uint64), np.unique(rng.integers(0, 1 << 43, 70_000, dtype=np.uint64))):
+        packed = neardup._pack(s)
+        assert neardup._unpack(packed, s.size).tolist() == s.tolist() and len(packed) <= 8 * s.size
+    assert len(packed) == 4 * s.size + 4
+
+
+def test_samples_of_long_texts_are_not_biased():
+    """Several shingles of a text share a draw here."""
+    rng = np.random.default_rng(25)
+    seen, true = [], []
+    for _ in range(8):
+        s = np.unique(rng.integers(0, 1 << 48, 60_000, dtype=np.uint64))
+        w = rng.choice([1.0, 1.5, 2.0], s.size)
+        a, b = np.arange(0, s.size - 8_000), np.arange(8_000, s.size)
+        row = np.concatenate([np.zeros(a.size), np.ones(b.size)]).astype(np.int64)
+        lanes = neardup.samples(row, np.concatenate([s[a], s[b]]), np.concatenate([w[a], w[b]]), 2).view(np.uint16)
+        seen.append((lanes[0] == lanes[1]).mean())
+        true.append(w[8_000:-8_000].sum() / w.sum())
+    assert abs(np.mean(seen) - np.mean(true)) < 0.06
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     s = np.unique(rng.integers(0, 1 << 48, 900, dtype=np.uint64))
