@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riverbend.llm.linededup import LEADING, LIKENESS, MIN_DOCS
+from riverbend.llm.linededup import LEADING, LIKENESS, LONG, LONG_DOCS, MIN_DOCS, ROUNDS
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -32,21 +32,39 @@ SELECT d.doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN longest ON d.doc_id = longest.doc_id
 """
 
-LINE_DEDUP = rf"""
-WITH l AS (SELECT doc_id, ln, regexp_extract_all(ln, '[^\x20\x09-\x0D]+') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(ln, '[^\x20\x09-\x0D]')),
-k AS (SELECT DISTINCT doc_id, ln, t, (len(t), list_transform(t[1:{LEADING}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END))::varchar AS leaf FROM l),
-kinds AS (SELECT leaf, ln, any_value(t) AS t, count(*) AS n FROM k GROUP BY leaf, ln),
-leaves AS (SELECT leaf, sum(n) AS total, count(*) AS kinds FROM kinds GROUP BY leaf HAVING sum(n) >= {MIN_DOCS}),
-tok AS (SELECT kinds.leaf, ln, n, total, pos, t[pos] AS token, len(t) AS size FROM kinds JOIN leaves ON kinds.leaf = leaves.leaf AND leaves.kinds > 1, unnest(range(1, len(t) + 1)) u(pos)),
-const AS (SELECT leaf, pos, token FROM tok GROUP BY leaf, pos, token, total HAVING sum(n) * 2 > total),
-fit AS (SELECT tok.leaf, ln, count(const.token) >= {LIKENESS}::double * max(size) AS fits FROM tok LEFT JOIN const ON tok.leaf = const.leaf AND tok.pos = const.pos AND tok.token = const.token GROUP BY tok.leaf, ln),
-tpl AS (SELECT ln, CASE WHEN fits THEN 'leaf ' || leaf ELSE 'line ' || ln END AS template FROM fit UNION ALL SELECT ln, 'line ' || ln FROM kinds JOIN leaves ON kinds.leaf = leaves.leaf AND leaves.kinds = 1),
-gone AS (SELECT template FROM (SELECT DISTINCT template, doc_id FROM k JOIN tpl ON k.ln = tpl.ln) GROUP BY template HAVING count(*) >= {MIN_DOCS}),
-bad AS (SELECT DISTINCT ln FROM tpl JOIN gone ON tpl.template = gone.template),
-lines AS (SELECT doc_id, p, ln FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(p), LATERAL (SELECT ls[p] AS ln)),
-kept AS (SELECT doc_id, count(*) FILTER (regexp_matches(lines.ln, '[^\x20\x09-\x0D]')) AS n_lines, count(bad.ln) AS n_dropped, string_agg(CASE WHEN bad.ln IS NULL THEN lines.ln END, chr(10) ORDER BY p) AS left_text FROM lines LEFT JOIN bad ON lines.ln = bad.ln GROUP BY doc_id)
+
+
+def _line_dedup() -> str:
+    """Every round of the template tree: totals, counts by position, constants, the position of a split, what fits, and the groups of the rest."""
+    rounds = []
+    for r in range(ROUNDS):
+        rounds.append(f"""
+s{r} AS (SELECT grp, sum(n) AS total, max(need) AS need FROM l{r} GROUP BY grp HAVING sum(n) >= max(need)),
+a{r} AS (SELECT l.grp, pos, t[pos] AS token, sum(n) AS n, any_value(s.total) AS total, any_value(s.need) AS need FROM l{r} l JOIN s{r} s ON l.grp = s.grp, unnest(range(1, len(t) + 1)) u(pos) GROUP BY l.grp, pos, t[pos]),
+m{r} AS (SELECT * FROM a{r} WHERE n >= need AND n < total AND NOT regexp_matches(token, '[0-9]')),
+p{r} AS (SELECT grp, pos FROM (SELECT grp, pos, sum(n) AS held, count(*) AS ways FROM m{r} GROUP BY grp, pos) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY held DESC, ways DESC, pos) = 1),
+f{r} AS (SELECT l.grp, l.ln, any_value(l.t) AS t, any_value(l.n) AS n, any_value(l.need) AS need, count(c.token) >= {LIKENESS}::double * any_value(len(l.t)) AS fits
+  FROM (SELECT l.*, pos FROM l{r} l JOIN s{r} s ON l.grp = s.grp, unnest(range(1, len(t) + 1)) u(pos)) l LEFT JOIN a{r} c ON l.grp = c.grp AND l.pos = c.pos AND l.t[l.pos] = c.token AND c.n * 2 > c.total GROUP BY l.grp, l.ln),
+l{r + 1} AS (SELECT CASE WHEN g.some THEN f.grp || '/rest' ELSE f.grp || '/' || p.pos || '/' || coalesce(a.token, '<*>') END AS grp, ln, t, f.n, f.need
+  FROM f{r} f JOIN (SELECT grp, bool_or(fits) AS some FROM f{r} GROUP BY grp) g ON f.grp = g.grp LEFT JOIN p{r} p ON f.grp = p.grp LEFT JOIN m{r} a ON a.grp = p.grp AND a.pos = p.pos AND a.token = f.t[p.pos]
+  WHERE NOT fits AND (g.some OR p.pos IS NOT NULL)),""")
+    fits = " UNION ALL ".join(f"SELECT ln, need, '{r} ' || grp AS template FROM f{r} WHERE fits" for r in range(ROUNDS))
+    return rf"""
+WITH src AS (SELECT doc_id, text, coalesce('id ' || doc_id, 'row ' || row_number() OVER ()) AS doc FROM documents),
+l AS (SELECT doc, ln, regexp_extract_all(ln, '[^\x20\x09-\x0D]+') AS t FROM (SELECT doc, unnest(string_split(text, chr(10))) AS ln FROM src WHERE text IS NOT NULL) WHERE regexp_matches(ln, '[^\x20\x09-\x0D]')),
+k AS (SELECT DISTINCT doc, ln, t, CASE WHEN len(t) > {LONG} THEN {LONG_DOCS} ELSE {MIN_DOCS} END AS need, (len(t), list_transform(t[1:{LEADING}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END))::varchar AS leaf FROM l),
+kinds AS (SELECT leaf, ln, any_value(t) AS t, any_value(need) AS need, count(*) AS n FROM k GROUP BY leaf, ln),
+l0 AS (SELECT leaf AS grp, ln, t, n, need FROM kinds WHERE leaf IN (SELECT leaf FROM kinds GROUP BY leaf HAVING sum(n) >= max(need) AND count(*) > 1)),{"".join(rounds)}
+fit AS ({fits}),
+gone AS (SELECT template FROM (SELECT DISTINCT template, need, doc FROM k JOIN (SELECT ln, template FROM fit) f ON k.ln = f.ln) GROUP BY template, need HAVING count(*) >= need),
+bad AS (SELECT ln FROM kinds WHERE n >= need UNION SELECT ln FROM fit JOIN gone ON fit.template = gone.template),
+lines AS (SELECT doc, p, ln FROM (SELECT doc, string_split(text, chr(10)) AS ls FROM src WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(p), LATERAL (SELECT ls[p] AS ln)),
+kept AS (SELECT doc, count(*) FILTER (regexp_matches(lines.ln, '[^\x20\x09-\x0D]')) AS n_lines, count(bad.ln) AS n_dropped, string_agg(CASE WHEN bad.ln IS NULL THEN lines.ln END, chr(10) ORDER BY p) AS left_text FROM lines LEFT JOIN bad ON lines.ln = bad.ln GROUP BY doc)
 SELECT d.doc_id, coalesce(n_lines, 0)::bigint AS n_lines, coalesce(n_dropped, 0)::bigint AS n_dropped, CASE WHEN text IS NOT NULL THEN sha256(coalesce(left_text, '')) END AS text_sha256
-FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+FROM src d LEFT JOIN kept ON d.doc = kept.doc
 """
 
+
+LINE_DEDUP = _line_dedup()
+
 ORACLE_SQL = {"op6_warc": WARC, "op9_line_dedup": LINE_DEDUP, "op10_decontaminate": DECONTAMINATE}
