@@ -252,7 +252,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
             out = {"doc_id": batch.column(0)} | judge(batch.column(1), blocks, window)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name != "doc_id" else out["doc_id"] for f in _ARROW], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(shared.lean(run), SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -270,4 +270,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             bad = pa.array(judge(batch.column(text_at), blocks, window)["contaminated"], pa.bool_())
             yield batch.filter(pc.invert(bad))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(shared.lean(run), docs.schema)

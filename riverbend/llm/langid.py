@@ -32,7 +32,7 @@ SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 192
 STEPS = 260
 BATCH = 192
-BLOCK = 4096
+BLOCK = 1024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -225,7 +225,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), lang, score], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return rows.mapInArrow(shared.lean(run), "doc_id bigint, lang_pred string, score double")
 
 
 def best(net: Network | None, texts: pa.Array, letters: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -252,4 +252,4 @@ def keep_known(docs: DataFrame, net: Network | None, min_score: float = 0.4) ->
             yield b.select(list(range(b.num_columns - 1))).filter(pa.array(keep))
 
     flagged = docs.select("*", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    return flagged.mapInArrow(run, docs.schema)
+    return flagged.mapInArrow(shared.lean(run), docs.schema)

@@ -193,7 +193,7 @@ def frequencies(docs: DataFrame) -> Frequencies:
         own, total = df > 1, int(df.sum())
         return pa.table({"part": group["part"][:1], "total": [total], "many": [int(own.sum())], "shingles": pa.array([_pack(shingle[own])], pa.binary()), "df": pa.array([df[own].astype("<u4").tobytes()], pa.binary())})
 
-    counts = text.mapInArrow(count, _BY_RANGE)
+    counts = text.mapInArrow(shared.lean(count), _BY_RANGE)
     found = shared.materialise(counts.groupBy("part").applyInArrow(add, "part bigint, total bigint, many bigint, shingles binary, df binary"), "frequencies")
     total = found.agg(F.sum("total")).first()[0] or 0
     least = max(1, total // FREQUENT)
@@ -289,8 +289,8 @@ def exact_weights(made: DataFrame, f: Frequencies) -> DataFrame:
             totals.append(float(w.astype(np.float64).sum()))
         return pa.table({"node": pa.array(nodes, pa.binary()), "packed": pa.array(out, pa.binary()), "weight": pa.array(totals, pa.float64())})
 
-    held = shared.materialise(made.mapInArrow(bundles, "bundle bigint, nodes array<binary>, tables array<binary>"), "bundles")
-    asks = held.select("bundle", "tables").mapInArrow(ask, _BY_RANGE).drop("n")
+    held = shared.materialise(made.mapInArrow(shared.lean(bundles), "bundle bigint, nodes array<binary>, tables array<binary>"), "bundles")
+    asks = held.select("bundle", "tables").mapInArrow(shared.lean(ask), _BY_RANGE).drop("n")
     found = asks.groupBy("part").cogroup(f.table.select("part", "many", "shingles", "df").groupBy("part")).applyInArrow(answer, "part bigint, bundle bigint, df binary")
     found = shared.materialise(found, "answers")
     tables = shared.materialise(held.groupBy("bundle").cogroup(found.groupBy("bundle")).applyInArrow(weigh, "node binary, packed binary, weight double"), "tables")
@@ -345,7 +345,7 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(digest, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(bands[:, i]) for i in range(BANDS)], names=["doc_id", "hash", "digest", *_BAND_NAMES])
 
-    return docs.select(F.col("doc_id").cast("bigint"), _text_hash(), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), _text_hash(), F.col("text").cast("string")).mapInArrow(shared.lean(run), schema)
 
 
 def _node(first: Column, digest: Column) -> Column:
@@ -393,14 +393,16 @@ def _likely(pairs: DataFrame, sig: DataFrame, matches: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, tables: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the pairs with at least the similarity. Both tables of each pair are shuffled."""
-    x = pairs.join(tables.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(tables.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
+    # Always the same plan, so that what is shuffled follows the input at every size.
+    a, b = (tables.select(F.col("node").alias(x), F.col("packed").alias(f"p{x}")).hint("merge") for x in "ab")
+    x = pairs.join(a, "a").join(b, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [weighted_jaccard(p.as_buffer(), q.as_buffer()) >= similarity for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return x.select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary")
+    return x.select("a", "b", "pa", "pb").mapInArrow(shared.lean(run), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -507,6 +509,8 @@ def links(sig: DataFrame, tables_of: Callable[[DataFrame], DataFrame], similarit
         live = _open(bands, comp)
         if not live.head(1):
             return found, comp
+        if turn == 1:  # most buckets are closed by now, and their tables are not shuffled again
+            tables = shared.materialise(tables.hint("merge").join(live.select("node").distinct(), "node"), "open-tables")
         chosen = _centres(live, turn, where, many)
         # Members that were centres before have been compared with everybody in the bucket.
         pairs = live.where("not done").join(chosen, ["band", "hash"]).where((F.col("a") != F.col("node")) & (F.col("ca") != F.col("comp")))
@@ -586,7 +590,7 @@ def _shingle_tables(picked: DataFrame) -> DataFrame:
             packed = [shingle[at[i]:at[i + 1]].astype("<u8").tobytes() + count[at[i]:at[i + 1]].astype("<f4").tobytes() for i in own]
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in own], pa.binary()), pa.array(packed, pa.binary())], names=["node", "packed"])
 
-    return picked.mapInArrow(run, "node binary, packed binary")
+    return picked.mapInArrow(shared.lean(run), "node binary, packed binary")
 
 
 def drop_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, hold_out: bool = True, sample_rows
             cut = lambda x, kind: [x[i:j].astype(kind).tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(cut(bucket, "<u2"), pa.binary()), pa.array(cut(value, "<f4"), pa.binary()), pa.array([d.tobytes() for d in dense.astype("<f8")], pa.binary())], names=["doc_id", "y", "bucket", "value", "dense"])
 
-    got = rows.mapInArrow(run, "doc_id bigint, y double, bucket binary, value binary, dense binary").collect()
+    got = rows.mapInArrow(shared.lean(run), "doc_id bigint, y double, bucket binary, value binary, dense binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["dense"])))
     sparse = [(np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in got]
     dense = np.stack([np.frombuffer(r["dense"], "<f8") for r in got]) if got else np.zeros((0, DENSE))
@@ -190,4 +190,4 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(*features(b.column(1), b.column(2))))], names=["doc_id", "score"])
 
-    return _inputs(docs).mapInArrow(run, "doc_id bigint, score double")
+    return _inputs(docs).mapInArrow(shared.lean(run), "doc_id bigint, score double")

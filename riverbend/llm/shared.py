@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +124,34 @@ def batches(spark: SparkSession, rows: int = _ROWS_PER_BATCH, size: int = _BYTES
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow; its worker, which Spark keeps for later tasks, gives memory back to the system when a task ends."""
+
+    def task(batches: Iterator) -> Iterator:
+        _few_arenas()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def _few_arenas() -> None:
+    """Large blocks always come from the system and go back to it (glibc raises that limit as it goes, unless it is set)."""
+    if not getattr(_few_arenas, "done", False):
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        _few_arenas.done = True
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path in it) of a folder or file URI."""
     from pyarrow import fs

@@ -315,7 +315,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
         n_ids = sum(x[4] for x in writer.index)
         yield pa.RecordBatch.from_pydict({"file": [number], "uri": [uri], "n_docs": [len(writer.index)], "n_ids": [n_ids]})
 
-    made = ranged.mapInArrow(run, "file bigint, uri string, n_docs bigint, n_ids bigint")
+    made = ranged.mapInArrow(shared.lean(run), "file bigint, uri string, n_docs bigint, n_ids bigint")
     made = shared.materialise(made, "manifest")
     rows = sorted(made.collect(), key=lambda r: r["file"])  # a row per file of FILE_BYTES
     start, out = 0, []
@@ -367,7 +367,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread.mapInArrow(shared.lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

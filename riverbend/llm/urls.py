@@ -221,4 +221,4 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
             yield pa.RecordBatch.from_arrays([page, host, path, rule, verdict, pa.array(score)], schema=schema)
 
     shared.small_batches(pages.sparkSession, 4096)
-    return ruled(pages, rules).mapInArrow(run, "page_id bigint, host string, path string, rule string, verdict string, score double")
+    return ruled(pages, rules).mapInArrow(shared.lean(run), "page_id bigint, host string, path string, rule string, verdict string, score double")

@@ -121,7 +121,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         shared.write_atomically(uri, rest())
         yield pa.RecordBatch.from_pydict({"uri": [uri], "n_records": [n]})
 
-    return shared.materialise(x.mapInArrow(run, "uri string, n_records bigint"), "archives")
+    return shared.materialise(x.mapInArrow(shared.lean(run), "uri string, n_records bigint"), "archives")
 
 
 class _Stream:
@@ -226,7 +226,7 @@ def read(manifest: DataFrame, with_data: bool = True) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return spread.mapInArrow(run, CHUNKS)
+    return spread.mapInArrow(shared.lean(run), CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
