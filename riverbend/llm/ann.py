@@ -1,22 +1,28 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, as flat neighbour arrays.
 
-Distinct vectors are dealt to shards of about ``SHARD_ROWS`` by hash. A shard's
+Distinct directions are dealt to shards of about ``SHARD_ROWS`` by hash. A shard's
 graph is built in bulk: a node's level is drawn from its hash; on each layer
-every node's nearest candidates are found by blocks, thinned by the
+every node's nearest candidates are found by comparing all of the layer's nodes in blocks (a shard is of
+fixed size, so that is a fixed cost for each row of the table), thinned by the
 small-world selection rule (a candidate is kept if it is nearer to the node
 than to any kept one), and linked back, into one int32 array of neighbours per
 layer (-1 fills). Queries descend the layers with a beam, all queries of a
-block at once, and the shards' results are merged by exact cosine similarity.
+block at once, and the shards' results are merged by exact cosine similarity, which all nodes of the beam get.
 
-Equal vectors share one node, which carries their smallest vec_ids (as many as
-a result can hold, and one more for the query itself), so a vector that a third
-of all rows have is one node and its ties are exact.
+Vectors of one direction (equal up to float32 rounding after division by their largest
+component) share one node, which carries the smallest vec_ids (as many as
+a result can hold, and one more for the query itself) with their vectors. So a vector that a third
+of all rows have, or a third of all rows that are scaled copies of it, are one node, and exact ties
+go to the smallest vec_ids. Scores are always those of a row's own vector; of rows of one direction whose
+scores differ by rounding only, the smallest vec_ids count as the nearest.
 
-Queries are sent to the shards in blocks of at most ``BLOCK_BYTES``.
+Graphs and blocks of queries (``BLOCK_BYTES`` at most each) are files in the shared folder. A task loads one graph
+and streams the blocks; nothing passes through the driver but one row per vector length and the names of the blocks.
 
 Defined cases. Vectors that are null, empty or all zero, or hold a null or a
 non-finite component, take no part, nor do rows with a null vec_id. Vectors of
-different lengths never meet. Rows with the query's own vec_id are its own rows.
+different lengths never meet. Rows with the query's own vec_id are its own rows; an id with several vectors counts
+by its nearest, and as a query by each of them.
 Repeated rows count once. Fewer than k candidates: all of them. Empty table:
 empty result. Other columns are ignored.
 """
@@ -24,10 +30,10 @@ empty result. Other columns are ignored.
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,15 +106,16 @@ def _links(x: np.ndarray, most: int) -> np.ndarray:
 
 
 class Graph:
-    """A shard: vectors, the ids each node stands for, and per layer its nodes and their neighbours."""
+    """A shard: vectors (one of each node, then other members' where they differ), each node's ids and the places of their vectors, and
+    per layer its nodes and their neighbours."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]):
-        self.vectors, self.ids, self.layers = vectors, ids, layers
-        self.unit = _unit(vectors)
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, at: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]):
+        self.vectors, self.ids, self.at, self.layers = vectors, ids, at, layers
+        self.unit = _unit(vectors[:len(ids)])
 
     @classmethod
-    def build(cls, vectors: np.ndarray, ids: np.ndarray) -> Graph:
-        unit = _unit(vectors)
+    def build(cls, vectors: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Graph:
+        unit = _unit(vectors[:len(ids)])
         draw = (words.mix(ids[:, 0].astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53
         level = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
         layers = []
@@ -117,17 +124,17 @@ class Graph:
             layers.append((nodes.astype(np.int32), _links(unit[nodes], 2 * LINKS if k == 0 else LINKS)))
             if nodes.size <= LINKS:
                 break
-        return cls(vectors, ids, layers)
+        return cls(vectors, ids, at, layers)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, ids=self.ids, depth=len(self.layers), **{f"{name}{i}": x for i, layer in enumerate(self.layers) for name, x in zip(("nodes", "links"), layer, strict=True)})
+        np.savez(out, vectors=self.vectors, ids=self.ids, at=self.at, depth=len(self.layers), **{f"{name}{i}": x for i, layer in enumerate(self.layers) for name, x in zip(("nodes", "links"), layer, strict=True)})
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
         with np.load(io.BytesIO(data)) as z:
-            return cls(z["vectors"], z["ids"], [(z[f"nodes{i}"], z[f"links{i}"]) for i in range(int(z["depth"]))])
+            return cls(z["vectors"], z["ids"], z["at"], [(z[f"nodes{i}"], z[f"links{i}"]) for i in range(int(z["depth"]))])
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of the beam of each query, nearest first; -1 fills."""
@@ -189,90 +196,146 @@ def usable(table: DataFrame) -> DataFrame:
 
 
 def build_index(table: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The index, written to the shared folder: shard, dim, graph (flat arrays as one blob of bounded size)."""
+    """The index, written to the shared folder: shard, dim, uri of its graph (flat arrays as one file of bounded size)."""
     rows = usable(table)
-    # The limit by rank is taken before the shuffle too, so a vector that many rows have sends few of them.
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
     rows = rows.dropDuplicates(["vec_id", "embedding"]) if _repeats(rows) else rows
-    kept = rows.withColumn("key", F.xxhash64("embedding", F.size("embedding"))).withColumn("rank", rank).where(F.col("rank") <= k + 1)
-    nodes = kept.groupBy("key").agg(F.min(F.struct("vec_id", "embedding")).alias("first"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = shared.materialise(nodes.select(F.col("first.embedding").cast("array<double>").alias("embedding"), "ids", F.size("first.embedding").alias("dim")), "vectors")
+    vec = F.col("embedding").cast("array<double>")
+    direction = F.transform(F.transform(vec, lambda v: v / F.array_max(F.transform(vec, F.abs))), lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v).cast("float"))
+    keyed = rows.withColumn("unit", direction).select("vec_id", "embedding", F.size("embedding").alias("dim"), F.xxhash64("unit").alias("key"), F.xxhash64(F.lit(1), "unit").alias("key2"))
+    # The limit by rank is taken before the shuffle too, so a vector that many rows have sends few of them.
+    rank = F.row_number().over(Window.partitionBy("dim", "key", "key2").orderBy("vec_id"))
+    kept = keyed.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    nodes = kept.groupBy("dim", "key", "key2").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("members"))
+    nodes = shared.materialise(nodes, "vectors")
     per = nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row for each vector length
     if not per:
-        return table.sparkSession.createDataFrame([], "shard bigint, dim int, graph binary")
+        return table.sparkSession.createDataFrame([], "shard bigint, dim int, uri string")
     shards = {r["dim"]: -(-r["n"] // shard_rows) for r in per}
     count = F.element_at(F.create_map(*[F.lit(x) for pair in shards.items() for x in pair]), F.col("dim"))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("ids"), count).cast("bigint"))
+    nodes = nodes.select("dim", F.pmod("key2", count).cast("bigint").alias("shard"), F.col("members.vec_id").alias("ids"), F.col("members.embedding").cast("array<array<double>>").alias("vectors"))
+    folder = shared.new_folder(table.sparkSession, "index")
 
     def build(group: pa.Table) -> pa.Table:
         dim, shard = group["dim"][0].as_py(), group["shard"][0].as_py()
-        vectors = np.asarray(group["embedding"].combine_chunks().flatten(), np.float64).reshape(-1, dim)
-        ids = np.full((vectors.shape[0], k + 1), -1, np.int64)
-        for i, own in enumerate(group["ids"].to_pylist()):
+        members = group["ids"].to_pylist()
+        ids = np.full((len(members), k + 1), -1, np.int64)
+        for i, own in enumerate(members):
             ids[i, :len(own)] = own
+        flat = np.asarray(group["vectors"].combine_chunks().flatten().flatten(), np.float64).reshape(-1, dim)
+        start = np.concatenate([[0], np.cumsum([len(own) for own in members])])
         order = np.argsort(ids[:, 0], kind="stable")
-        return pa.table({"shard": [shard], "dim": pa.array([dim], pa.int32()), "graph": pa.array([Graph.build(vectors[order], ids[order]).dump()], pa.binary())})
+        ids, start = ids[order], start[:-1][order]
+        at = np.repeat(np.arange(len(ids))[:, None], k + 1, 1)
+        others = []
+        for slot in range(1, k + 1):
+            for i in np.flatnonzero(ids[:, slot] >= 0):
+                if (flat[start[i] + slot] != flat[start[i]]).any():
+                    at[i, slot] = len(ids) + len(others)
+                    others.append(flat[start[i] + slot])
+        vectors = np.concatenate([flat[start], np.array(others).reshape(-1, dim)])
+        uri = f"{folder}/shard-{dim}-{shard}.npz"
+        shared.write_atomically(uri, Graph.build(vectors, ids, at).dump())
+        return pa.table({"shard": [shard], "dim": pa.array([dim], pa.int32()), "uri": [uri]})
 
     total = sum(shards.values())
-    made = nodes.repartition(max(total, 1), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "shard bigint, dim int, graph binary")
-    return shared.materialise(made, "index")
+    made = nodes.repartition(max(total, 1), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "shard bigint, dim int, uri string")
+    return shared.materialise(made, "index-files")
 
 
 def _repeats(rows: DataFrame) -> bool:
     return bool(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").head(1))
 
 
+def _blocks(queries: DataFrame, block_bytes: int) -> tuple[str, int]:
+    """Writes the queries as files of about block_bytes; the URI of a list of them (dim, uri), and how many there are."""
+    spark = queries.sparkSession
+    rows = usable(queries).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim")).distinct()
+    rows = shared.materialise(rows, "queries")
+    size = rows.agg(F.sum(F.col("dim") * F.lit(8))).first()[0] or 0
+    folder = shared.new_folder(spark, "query-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId(), 0
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+        def out(dim: int) -> pa.RecordBatch:
+            nonlocal made
+            uri, own, data = f"{folder}/block-{part}-{made}.npz", held.pop(dim), io.BytesIO()
+            np.savez(data, ids=np.array([x[0] for x in own], np.int64), vectors=np.stack([x[1] for x in own]))
+            shared.write_atomically(uri, data.getvalue())
+            made += 1
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "uri": [uri]})
+
+        for b in batches:
+            for query, vec in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = np.asarray(vec.values, np.float64)
+                held.setdefault(v.size, []).append((query, v))
+                if len(held[v.size]) * v.size * 8 >= block_bytes:
+                    yield out(v.size)
+        for dim in sorted(held):
+            yield out(dim)
+
+    made = rows.select("vec_id", "embedding").repartition(max(1, -(-size // block_bytes)), "vec_id").mapInArrow(shared.lean(run), "dim int, uri string")
+    found = sorted((r["dim"], r["uri"]) for r in shared.materialise(made, "blocks").collect())  # a name for each block
+    shared.write_atomically(f"{folder}/list.json", json.dumps(found).encode())
+    return f"{folder}/list.json", len(found)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by largest cosine, ties to the smaller vec_id."""
     spark = index.sparkSession
-    rows = shared.materialise(usable(queries).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim")).distinct(), "queries")
-    size = rows.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
-    if not size["n"] or not index.head(1):
-        return spark.createDataFrame([], RESULT)
-    blocks = -(-size["n"] * size["dim"] * 8 // block_bytes)
+    listed, blocks = _blocks(queries, block_bytes)
     shards = index.count()
-    parts = []
-    for b in range(blocks):
-        held = spark.sparkContext.broadcast(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas())
-        parts.append(index.repartition(shards).mapInArrow(_searcher(held, k, beam), "query_id bigint, vec_id bigint, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    if not blocks or not shards:
+        return spark.createDataFrame([], RESULT)
+    # With few shards, several tasks share one, each with its part of the blocks.
+    ways = min(blocks, max(1, spark.sparkContext.defaultParallelism // shards))
+    work = index.select("dim", "uri", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("way")).repartition(shards * ways)
+    found = work.mapInArrow(shared.lean(_searcher(listed, ways, k, beam)), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id with several vectors counts by its nearest
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _searcher(held, k: int, beam: int):
+def _load(uri: str) -> bytes:
+    store, path = shared.filesystem(uri)
+    with store.open_input_file(path) as f:
+        return f.read()
+
+
+def _searcher(listed: str, ways: int, k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                mine: pd.DataFrame = held.value
-                mine = mine[mine["dim"] == dim]
-                if not len(mine):
-                    continue
-                graph = Graph.load(blob.as_py())
-                for a in range(0, len(mine), 512):
-                    part = mine.iloc[a:a + 512]
-                    vec = np.stack(part["embedding"].to_numpy())
-                    query = part["vec_id"].to_numpy(np.int64)
-                    node, _ = graph.search(vec, beam)
-                    node = node[:, :4 * (k + 1)]
-                    qi, slot = np.nonzero(node >= 0)
-                    at = node[qi, slot]
-                    score = cosine(vec[qi], graph.vectors[at])
-                    ids = graph.ids[at]
-                    row, col = np.nonzero((ids >= 0) & (ids != query[qi][:, None]))
-                    q, v, s = qi[row], ids[row, col], score[row]
-                    order = np.lexsort((v, -s, q))
-                    q, v, s = q[order], v[order], s[order]
-                    nth = np.arange(q.size) - np.searchsorted(q, q)
-                    use = nth < k
-                    yield pa.RecordBatch.from_arrays([pa.array(query[q[use]]), pa.array(v[use]), pa.array(s[use])], names=["query_id", "vec_id", "score"])
+            for dim, uri, way in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = [u for d, u in json.loads(_load(listed)) if d == dim][way::ways]
+                graph = Graph.load(_load(uri)) if mine else None
+                for block in mine:
+                    with np.load(io.BytesIO(_load(block))) as z:
+                        ids, vectors = z["ids"], z["vectors"]
+                    for a in range(0, ids.size, 512):
+                        yield _nearest(graph, ids[a:a + 512], vectors[a:a + 512], k, beam)
 
     return run
 
 
+def _nearest(graph: Graph, query: np.ndarray, vec: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+    """The k nearest of each query in one shard, all nodes of the beam scored exactly."""
+    node, _ = graph.search(vec, beam)
+    qi, slot = np.nonzero(node >= 0)
+    node = node[qi, slot]
+    row, col = np.nonzero((graph.ids[node] >= 0) & (graph.ids[node] != query[qi][:, None]))
+    q, node = qi[row], node[row]
+    v, at = graph.ids[node, col], graph.at[node, col]
+    s = np.concatenate([np.empty(0), *(cosine(vec[q[i:i + 8192]], graph.vectors[at[i:i + 8192]]) for i in range(0, q.size, 8192))])
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    nth = np.arange(q.size) - np.searchsorted(q, q)
+    use = nth < k
+    return pa.RecordBatch.from_arrays([pa.array(query[q[use]]), pa.array(v[use]), pa.array(s[use])], names=["query_id", "vec_id", "score"])
+
+
 def nearest(table: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The k nearest other rows of every row whose vec_id is divisible by ``every``, against all rows."""
     return search(build_index(table, k), table.where(F.col("vec_id").cast("bigint") % every == 0), k)

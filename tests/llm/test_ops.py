@@ -169,6 +169,47 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 0")).count() == 0
 
 
+def test_scaled_copies_tie(spark):
+    """A third of the rows, and more, point one way: exact ties go to the smallest ids, whichever nodes a beam holds."""
+    rng = np.random.default_rng(31)
+    rows = [(i, [float(1000 - i), 0.0, 0.0]) for i in range(400)] + [(400 + i, v) for i, v in enumerate(rng.normal(size=(600, 3)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, every=100).collect()}
+    want = {(q, n): i for q, found in brute_nearest(rows, 100, 5).items() for n, (_, i) in enumerate(found, 1)}
+    assert [got[0, n] for n in range(1, 6)] == [1, 2, 3, 4, 5] and [got[100, n] for n in range(1, 6)] == [0, 1, 2, 3, 4]
+    assert np.mean([got[x] == want[x] for x in want]) > 0.95
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 0.5]), (0, [0.0, 1.0])]
+    got = [(r["query_id"], r["vec_id"], round(r["score"], 6)) for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1.0), (0, 2, round(1 / math.sqrt(1.25), 6))]
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_over_several_shards_and_layers(spark, clustered, monkeypatch):
+    rng = np.random.default_rng(32)
+    centres = rng.normal(size=(40, 24))
+    x = (centres[rng.integers(0, 40, 9000)] + 0.15 * rng.normal(size=(9000, 24)) if clustered else rng.normal(size=(9000, 24))).astype(np.float32)
+    x[::3] = x[0] * rng.choice([1.0, 2.0, 4.0, 0.5], (3000, 1)).astype(np.float32)  # a third are scaled copies of one vector
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(9000), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    index = ann.build_index(df, shard_rows=1300)
+    graphs = [ann.Graph.load(ann._load(r["uri"])) for r in index.collect()]
+    assert len(graphs) >= 4 and min(len(g.layers) for g in graphs) >= 3 and sum(len(g.ids) for g in graphs) == 6001
+    got = defaultdict(dict)
+    for r in ann.search(index, df.where("vec_id % 50 = 0"), block_bytes=5000).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 9000, 50):
+        s = np.round(y @ y[q], 12)
+        s[q] = -9
+        hits += len(set(np.lexsort((np.arange(9000), -s))[:5].tolist()) & set(got[q]))
+        assert len(got[q]) == 5
+    assert hits / (180 * 5) >= 0.9
+
+
 # 4 --------------------------------------------------------------------------------------------------------------------
 
 
