@@ -3,8 +3,8 @@
 The network reads windows of ``WINDOW`` bytes in both directions, labels every
 position, and a document's probabilities are the mean over all its positions.
 It is trained in numpy by backpropagation through time (Adam) on the driver, on
-windows of at most ``SAMPLE_DOCS`` labelled documents, taken in the order of a
-hash of the row. Every byte of every text is labelled when predicting.
+windows of at most ``SAMPLE_DOCS`` labelled documents with a letter, taken in the order of a
+hash of the row: ``SAMPLE_WINDOWS`` of a text, each anywhere in its part of the whole text. Every byte of every text is labelled when predicting.
 
 Defined cases. Null text or text without a letter: ``und`` with score 0. Without
 any labelled document there is nothing to learn: all are ``und``. Null lang: not
@@ -29,7 +29,7 @@ from riverbend.llm import shared, words
 WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 192
+SAMPLE_WINDOWS = 3
 STEPS = 260
 BATCH = 192
 BLOCK = 1024
@@ -151,20 +151,23 @@ def train(docs: DataFrame, hold_out: bool = True, sample_docs: int = SAMPLE_DOCS
     rows = docs.where(F.col("lang").isNotNull())
     if hold_out:
         rows = rows.where(~held_out(F.col("doc_id")))
-    rows = shared.bounded_sample(rows, F.struct(F.col("doc_id"), text), 2 * sample_docs).where(text.rlike(r"\p{L}"))
+    rows = shared.bounded_sample(rows.where(text.rlike(r"\p{L}")), F.struct(F.col("doc_id"), text), sample_docs)
     h = F.xxhash64(text, F.lit("sample"))
-    at = (F.pmod(F.xxhash64(text, F.lit("window")), F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.substr(text, at, F.lit(SAMPLE_CHARS)).alias("piece"), h.alias("h")).orderBy("h", "lang", "piece").limit(sample_docs).collect()
+    part = F.floor(F.char_length(text) / SAMPLE_WINDOWS)
+    at = lambda i: (part * i + F.pmod(F.xxhash64(text, F.lit(f"window {i}")), F.greatest(part - WINDOW, F.lit(0)) + 1) + 1).cast("int")
+    pieces = F.array(*[F.substr(text, at(i), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)])
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), pieces.alias("pieces"), h.alias("h")).orderBy("h", "lang", "pieces").limit(sample_docs).collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     xs, reals, ys = [], [], []
     for r in rows:
-        x, real = windows(np.frombuffer(r["piece"].encode(), np.uint8))
-        xs.append(x)
-        reals.append(real)
-        ys.append(np.full(x.shape[1], langs.index(r["lang"])))
+        for piece in r["pieces"]:
+            x, real = windows(np.frombuffer(piece.encode(), np.uint8))
+            xs.append(x)
+            reals.append(real)
+            ys.append(np.full(x.shape[1], langs.index(r["lang"])))
     x, real, y = np.concatenate(xs, 1), np.concatenate(reals, 1), np.concatenate(ys)
     net = Network.new(langs, rng)
     ready = real.sum(0) > 0

@@ -165,7 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, hold_out: bool = True, sample_rows
     picked = picked.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     picked = shared.bounded_sample(picked, F.col("doc_id"), sample_rows)
     picked = shared.materialise(picked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows), "label-sample")
-    rows = _inputs(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "n_chars", "y")  # at most sample_rows rows
+    # One text for each label, however many rows have its id: that of the least hash.
+    own = F.xxhash64("text", "n_chars")
+    least = _inputs(docs).select("doc_id", own.alias("h")).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("h").alias("h"))
+    picked = shared.materialise(picked.join(least, "doc_id"), "label-rows")
+    rows = _inputs(docs).withColumn("h", own).join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "y").agg(F.first("text").alias("text"), F.first("n_chars").alias("n_chars"))
+    rows = rows.select("doc_id", "text", "n_chars", "y")  # at most sample_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -134,6 +134,31 @@ def test_language_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(bool(t and re.search(r"[^\W\d_]", t)) for _, t, *_ in ODD)
 
 
+def test_few_usable_rows_are_found(spark):
+    """Most labelled rows have no letter; the others are learned from all the same, wherever in the text their letters are."""
+    rows = [(i, "12 34 ...", "xx") for i in range(400)] + [(1000 + i, "0 " * 300 + text, lang) for i in range(10) for text, lang in (("the house and the tree " * 20, "en"), ("das haus und der baum " * 20, "de"))]
+    net = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), hold_out=False, sample_docs=20, steps=60)
+    assert net.langs == ["de", "en"]
+
+
+def test_pooling_is_the_mean_over_all_bytes():
+    rng = np.random.default_rng(3)
+    net = langid.Network.new(["a", "b", "c"], rng, h=4)
+    texts = ["", "x", "ünï " * 50, "word " * 3000, None, "y" * 64, "z" * 65]
+    got = langid.pooled(net, pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        positions = []
+        for a in range(0, raw.size, langid.WINDOW):  # one window at a time
+            piece = raw[a:a + langid.WINDOW]
+            p = net.labels(piece[:, None], np.ones((piece.size, 1), np.float32))
+            positions += [p[k, :, 0] for k in range(piece.size)]
+        want = np.mean(positions, axis=0) if positions else np.zeros(3)
+        assert np.allclose(row, want, atol=1e-5)
+    lang, score = langid.best(net, pa.array(texts), pa.array([bool(t) for t in texts]))
+    assert [x == "und" for x in lang.to_pylist()] == [not t for t in texts] and all(math.isclose(s, got[i].max(), rel_tol=1e-6) for i, s in enumerate(score.to_pylist()) if texts[i])
+
+
 # 3 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -550,6 +575,36 @@ def test_sum_of_squares_identity():
     assert math.isclose(m.score(np.zeros(3, np.int64), bucket, value, dense)[0], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
 
 
+def test_labels_of_a_repeated_id_take_one_row_each(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {i % 7}", 10) for i in range(300)] + [(i, "other words here " * i, 5) for i in range(2, 12)], "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)] + [(1, 1)], "doc_id bigint, quality int")
+    sizes, real = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, dense, y, **k: (sizes.append(len(rows)), real(rows, dense, y, **k))[1])
+    quality.train(docs, labels, hold_out=False)
+    assert sizes == [11]
+
+
+def test_features_are_those_of_brute_force():
+    texts = ["Some words here. Some MORE words!!\n12 34 <b>|x|</b>", "", None, "x" * 70, "été — naïve 日本 words words", "a, b.. c.\n\n\tword word word"]
+    stated = [None, 5, 0, 70, 3, None]
+    row, bucket, value, dense = quality.features(pa.array(texts), pa.array(stated, pa.float64()))
+    for i, t in enumerate(texts):
+        raw, ws = (t or "").encode(), split_words(t)
+        times = Counter(int(words.batch_words(pa.array([w]))[0][0] >> np.uint64(50)) for w in ws)
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in times.values())) or 1
+        assert {int(k): round(float(v), 9) for k, v in zip(bucket[row == i], value[row == i], strict=True)} == {k: round(math.log1p(n) / norm, 9) for k, n in times.items()}
+        size, count, lines, chars = len(raw), len(ws), raw.count(b"\n") + 1, len(t or "")
+        share = lambda test: sum(map(test, raw)) / max(size, 1)
+        punct = lambda c: 32 < c < 127 and not chr(c).isalnum()
+        said = chars if stated[i] is None else stated[i]
+        want = [
+            math.log1p(size), math.log1p(count), size / max(count, 1) / 10, math.log1p(lines), math.log1p(size / lines), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(punct),
+            sum(a == b and punct(b) for a, b in itertools.pairwise(raw)) / max(size, 1), share(lambda c: c >= 128), share(lambda c: c in (32, 9)), len(times) / max(count, 1), max(times.values(), default=0) / max(count, 1),
+            sum(a == b for a, b in itertools.pairwise(ws)) / max(count, 1), share(lambda c: c in (124, 60)), share(lambda c: c in (46, 44)), math.log1p(said), float(said != chars),
+        ]
+        assert np.allclose(dense[i], want), i
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (7, None, 0), (8, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.score(odd, quality.train(odd, labels, hold_out=False)).collect()
