@@ -11,7 +11,7 @@ no document, passage or item can overload a task.
 Defined cases. Null or empty text: no words, no hits, not contaminated. Empty
 benchmark: nothing is hit. Items of fewer words than the window, but not none,
 are one window; items without words never occur. Repeated item rows count once
-by id; an item whose id is null is reported as ``null``. Repeated documents are
+by id; an item whose id is null is reported as ``null``, and is another one than an item named so. Repeated documents are
 judged row by row. Other columns of the input are ignored by name, so clashes
 cannot happen: results carry the columns listed in SCHEMA only.
 Words are compared by 64-bit hashes; a false hit needs colliding hashes of all
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,10 @@ from pyspark.sql import functions as F
 from riverbend.llm import shared, words
 
 WINDOW = 10
-#: Benchmark text in one broadcast; a larger benchmark is searched block by block from shared files.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text in one block, about; blocks are files in the shared folder, made by tasks, and a task holds one at a time.
+BLOCK_BYTES = 8 << 20
+#: Stands before the name of the item without an id while items are told apart.
+_NO_ID = "\x01"
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, "
@@ -48,36 +49,42 @@ _ARROW = pa.schema([
 ])
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the intervals, and each one's interval."""
+    n = hi - lo
+    which = np.repeat(np.arange(lo.size), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which], which
+
+
 class Suffixes:
     """Item suffixes: distinct word windows, and which (item, position) each one stands for."""
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
         column = pa.array(texts, pa.large_string())
         hashes, offsets = words.batch_words(column)
-        self.window = window
-        seen: dict[bytes, int] = {}
-        first: list[int] = []
-        length: list[int] = []
-        places: list[list[tuple[int, int]]] = []
+        counts = np.diff(offsets)
+        size = np.minimum(window, counts)
+        starts = np.where(counts > 0, counts - size + 1, 0)
+        at, row = _ranges(offsets[:-1], offsets[:-1] + starts)
+        length = size[row]
+        # Windows are named by 128 bits of their words' hashes.
+        one, two = (np.zeros(at.size, np.uint64) for _ in range(2))
+        for k in range(window):
+            own = length > k
+            word = hashes[at[own] + k]
+            one[own] = words.mix(one[own] * np.uint64(0x9E3779B97F4A7C15) + word)
+            two[own] = words.mix(two[own] * np.uint64(0xD6E8FEB86659FD93) ^ word)
+        order = np.lexsort((at, two, one, length))
+        new = np.ones(order.size, bool)
+        new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (length[order[1:]] != length[order[:-1]])
+        self.window, self.words = window, hashes
         self.ids = sorted(set(ids))
         number = {x: i for i, x in enumerate(self.ids)}
-        for row, name in enumerate(ids):
-            a, b = int(offsets[row]), int(offsets[row + 1])
-            size = min(window, b - a)
-            for p in range(a, b - size + 1 if size else a):
-                at = seen.setdefault(hashes[p:p + size].tobytes(), len(first))
-                if at == len(first):
-                    first.append(p)
-                    length.append(size)
-                    places.append([])
-                places[at].append((number[name], p - a))
-        self.words = hashes
-        self.first = np.array(first, np.int64)
-        self.length = np.array(length, np.int64)
-        self.place_offsets = np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int64)
-        flat = [y for x in places for y in x]
-        self.place_item = np.array([y[0] for y in flat], np.int64)
-        self.place_at = np.array([y[1] for y in flat], np.int64)
+        head = np.flatnonzero(new)
+        self.first, self.length = at[order[head]], length[order[head]]
+        self.place_offsets = np.append(head, order.size).astype(np.int64)
+        self.place_item = np.array([number[x] for x in ids], np.int64)[row[order]]
+        self.place_at = (at - offsets[:-1][row])[order]
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -151,15 +158,8 @@ def search(seq: np.ndarray, order: np.ndarray, suffixes: Suffixes) -> tuple[np.n
     return live, lo, hi
 
 
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the intervals, and each one's interval."""
-    n = hi - lo
-    which = np.repeat(np.arange(lo.size), n)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which], which
-
-
-def judge(column: pa.Array, blocks: list, window: int) -> dict[str, list]:
-    """Results of one shard (all rows of a batch) against all blocks of item suffixes."""
+def judge(column: pa.Array, blocks: list[str], window: int, locate: bool = True) -> dict[str, list]:
+    """Results of one shard (all rows of a batch) against all blocks of item suffixes; without locate, only which words are hit."""
     hashes, offsets = words.batch_words(column)
     rows = len(column)
     counts = np.diff(offsets)
@@ -174,7 +174,7 @@ def judge(column: pa.Array, blocks: list, window: int) -> dict[str, list]:
     found: list = [{} for _ in range(rows)]
     matches: list = [[] for _ in range(rows)]
     for block in blocks if hashes.size else []:
-        s = block()
+        s = _cached(block)
         live, lo, hi = search(seq, order, s)
         if not live.size:
             continue
@@ -183,6 +183,8 @@ def judge(column: pa.Array, blocks: list, window: int) -> dict[str, list]:
         size = s.length[win]
         np.add.at(edges, at, 1)
         np.add.at(edges, at + size, -1)
+        if not locate:
+            continue
         each, back = _ranges(s.place_offsets[win], s.place_offsets[win + 1])
         item, ipos, dpos, length = s.place_item[each], s.place_at[each], at[back], size[back]
         by = np.lexsort((dpos, dpos - ipos, item, row_at[dpos]))
@@ -196,10 +198,12 @@ def judge(column: pa.Array, blocks: list, window: int) -> dict[str, list]:
             r = int(row[a])
             name = s.ids[item[a]]
             found[r][name] = True
-            matches[r].append({"item_id": name, "doc_word": int(dpos[a] - row_start[r]), "item_word": int(ipos[a]), "n_words": int(dpos[b] + length[b] - dpos[a])})
+            matches[r].append({"item_id": name.lstrip(_NO_ID), "doc_word": int(dpos[a] - row_start[r]), "item_word": int(ipos[a]), "n_words": int(dpos[b] + length[b] - dpos[a])})
     hit = np.cumsum(edges[:-1]) > 0
     n_hit = np.bincount(row_at[hit], minlength=rows)
-    items = [sorted(f) for f in found]
+    if not locate:
+        return {"n_words": counts.tolist(), "n_hit": n_hit.tolist(), "contaminated": (n_hit > 0).tolist()}
+    items = [sorted(x.lstrip(_NO_ID) for x in f) for f in found]
     return {
         "n_words": counts.tolist(), "n_hit": n_hit.tolist(), "n_items": [len(x) for x in items],
         "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
@@ -207,23 +211,22 @@ def judge(column: pa.Array, blocks: list, window: int) -> dict[str, list]:
     }
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Loaders of the benchmark's blocks: one broadcast within the bound, else shared files read one at a time."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
+def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
+    """The benchmark's blocks as shared files, each made by a task from the distinct (item, text) of its share of the bytes."""
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit(f"{_NO_ID}null"))
+    items = shared.materialise(benchmark.select(name.alias("item_id"), F.col("text").cast("string").alias("text")).distinct(), "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    if n == 1:
-        rows = items.collect()
-        held = spark.sparkContext.broadcast(Suffixes([r[0] for r in rows], [r[1] for r in rows], window).dump())
-        key = uuid.uuid4().hex
-        return [lambda: _cached(key, lambda: held.value)]
     folder = shared.new_folder(spark, "benchmark")
-    paths = []
-    for k in range(n):  # each block's rows are bounded by its share of the bytes
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        paths.append(f"{folder}/block-{k}.npz")
-        shared.write_atomically(paths[-1], Suffixes([r[0] for r in rows], [r[1] for r in rows], window).dump())
-    return [lambda p=p: _cached(p, lambda: _read(p)) for p in paths]
+
+    def build(group: pa.Table) -> pa.Table:
+        uri = f"{folder}/block-{group['block'][0].as_py()}.npz"
+        shared.write_atomically(uri, Suffixes(group["item_id"].to_pylist(), group["text"].to_pylist(), window).dump())
+        return pa.table({"uri": [uri]})
+
+    dealt = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block"))
+    made = shared.materialise(dealt.groupBy("block").applyInArrow(build, "uri string"), "blocks")
+    return sorted(r["uri"] for r in made.collect())
 
 
 def _read(uri: str) -> bytes:
@@ -235,9 +238,10 @@ def _read(uri: str) -> bytes:
 _last: dict = {}
 
 
-def _cached(key: str, get) -> Suffixes:
-    if _last.get("key") != key:
-        _last.update(key=key, value=Suffixes.load(get()))
+def _cached(uri: str) -> Suffixes:
+    if _last.get("key") != uri:
+        _last.clear()
+        _last.update(key=uri, value=Suffixes.load(_read(uri)))
     return _last["value"]
 
 
@@ -267,7 +271,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad = pa.array(judge(batch.column(text_at), blocks, window)["contaminated"], pa.bool_())
+            bad = pa.array(judge(batch.column(text_at), blocks, window, False)["contaminated"], pa.bool_())
             yield batch.filter(pc.invert(bad))
 
     return docs.mapInArrow(shared.lean(run), docs.schema)

@@ -703,6 +703,14 @@ def test_contamination_of_odd_rows(spark, odd, none):
     assert decontam.find_matches(none, bench).count() == 0 and decontam.find_matches(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_an_item_without_an_id_is_no_item_named_null(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "one two three"), ("null", "ten eleven"), ("a", "nine ten"), ("a", "one two"), ("a", "one two")], "item_id string, text string")
+    r = decontam.find_matches(docs, bench).first()
+    assert (r["n_items"], r["n_hit"], r["items_sha256"]) == (3, 6, hashlib.sha256(b"a,null,null").hexdigest())
+    assert sorted(m["item_id"] for m in r["matches"]) == ["a", "a", "null", "null"]
+
+
 def test_suffix_array_is_sorted():
     seq = np.random.default_rng(8).integers(1, 4, 500).astype(np.uint64)
     order = decontam.suffix_array(seq, 10)
