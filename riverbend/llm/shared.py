@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import os
 import re
 import shutil
@@ -128,7 +127,6 @@ def lean(run: Callable) -> Callable:
     """run for mapInArrow; its worker, which Spark keeps for later tasks, gives memory back to the system when a task ends."""
 
     def task(batches: Iterator) -> Iterator:
-        _few_arenas()
         try:
             yield from run(batches)
         finally:
@@ -137,16 +135,8 @@ def lean(run: Callable) -> Callable:
     return task
 
 
-def _few_arenas() -> None:
-    """Large blocks always come from the system and go back to it (glibc raises that limit as it goes, unless it is set)."""
-    if not getattr(_few_arenas, "done", False):
-        with suppress(OSError, AttributeError):
-            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        _few_arenas.done = True
-
-
 def release() -> None:
-    gc.collect()
+    """Gives free memory back to the system."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -42,17 +42,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverbend.llm import shared
+from riverbend.llm import shared, words
 
 END_ID = 2
 FRAME_IDS = 1 << 16
 #: Bytes of text in one file, roughly.
 FILE_BYTES = 64 << 20
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct chunks that a worker remembers, about, and the characters of all of them by this many for each.
-REMEMBERED, CHUNK_CHARS = 1 << 18, 16
+#: Distinct chunks that a worker remembers, about (some 50 bytes each), the most bytes of one that it does, and pieces of chunks that it does.
+REMEMBERED, CHUNK_BYTES, PIECES = 1 << 20, 64, 1 << 16
 #: Bytes of text encoded at once; chunks are looked up once for all of them.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
+#: Blocks after which a task gives memory back to the system.
+RELEASE = 4
 
 
 def _word_pieces(tokenizer) -> bool:
@@ -92,8 +94,35 @@ _PRINTABLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all intervals one after another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def chunk_keys(chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each chunk of at most CHUNK_BYTES bytes, and which chunks these are."""
+    bounds = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset:chunks.offset + len(chunks) + 1]
+    start, size = bounds[:-1], np.diff(bounds)
+    data = chunks.buffers()[2]
+    raw = np.concatenate([np.frombuffer(data, np.uint8)[:bounds[-1]] if data is not None else np.empty(0, np.uint8), np.zeros(8, np.uint8)])
+    own = size <= CHUNK_BYTES
+    one, two = size.astype(np.uint64), size.astype(np.uint64)
+    live = np.flatnonzero(own)
+    for k in range(0, CHUNK_BYTES, 8):
+        live = live[size[live] > k]
+        if not live.size:
+            break
+        word = raw[(start[live] + k)[:, None] + np.arange(8)].view("<u8")[:, 0] & _LOW_BYTES[np.minimum(size[live] - k, 8)]
+        one[live] = words.mix((one[live] ^ word) * np.uint64(0x9E3779B97F4A7C15))
+        two[live] = words.mix((two[live] + word) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+    return one, two, own
+
+
 class WordEncoder:
-    """Encodes texts chunk by chunk with a bounded memory of chunks already seen.
+    """Encodes texts chunk by chunk with a bounded memory of chunks already seen, by 128 bits of their hash.
 
     A new chunk of printable ASCII and Latin-1 letters is cut by the pre-tokeniser's pattern and its pieces go to the tokenizer's model;
     any other chunk, and any that may hold a special token, goes through the whole tokenizer.
@@ -106,82 +135,85 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.by_model = _word_pieces(self.tokenizer)
         self.remembered = remembered
-        self.number: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.used = self.chars = 0
-        self.offsets = np.zeros(1 << 16, np.int64)
-        self.seen = np.zeros(1 << 16, np.int64)
+        # Sorted names with the numbers of their chunks; ids, their bounds and how often a chunk came, by number.
+        self.one, self.two, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.ids, self.bounds, self.seen = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int32)
 
     def _forget(self) -> None:
         """Keeps the chunks that came most often, half of what is remembered at most; the others are encoded anew when they come again."""
-        names, seen = list(self.number), self.seen[:len(self.number)]
-        known = np.flatnonzero(seen > 1)
-        kept = np.sort(known[np.argsort(-seen[known], kind="stable")[:self.remembered // 2]])
-        kept = kept[[len(names[i]) <= 4 * CHUNK_CHARS for i in kept.tolist()]] if kept.size else kept
-        old, ids, counts = self.offsets, self.ids, seen[kept] // 2
-        self.number, self.used, self.chars, self.pieces = {}, 0, 0, {}
-        self.ids, self.offsets, self.seen = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        for i in kept.tolist():
-            self._add(names[i], ids[old[i]:old[i + 1]])
-        self.seen[:kept.size] = counts
-
-    def _add(self, chunk: str, ids) -> None:
-        n = len(self.number)
-        self.chars += len(chunk)
-        if self.used + len(ids) > self.ids.size:
-            self.ids = np.concatenate([self.ids, np.empty(max(self.ids.size, len(ids)), np.uint32)])
-        if n + 2 > self.offsets.size:
-            self.offsets = np.concatenate([self.offsets, np.empty_like(self.offsets)])
-            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.number[chunk] = n
-        self.offsets[n + 1] = self.used
-
-    def _learn(self, chunks: list[str]) -> None:
+        known = np.flatnonzero(self.seen > 1)
+        kept = np.sort(known[np.argsort(-self.seen[known], kind="stable")[:self.remembered // 2]])
+        new = np.full(self.seen.size, -1, np.int32)
+        new[kept] = np.arange(kept.size, dtype=np.int32)
+        size = np.diff(self.bounds)[kept]
+        self.ids = self.ids[_flat(self.bounds[kept], size)]
+        self.bounds, self.seen = np.concatenate([[0], np.cumsum(size)]), self.seen[kept] // 2
+        own = new[self.number] >= 0
+        self.one, self.two, self.number = self.one[own], self.two[own], new[self.number[own]]
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(chunks)
         rest = []
         model, known = self.tokenizer.model, self.pieces
-        for chunk in chunks:
+        if len(known) > PIECES:
+            known.clear()
+        for at, chunk in enumerate(chunks):
             if not (self.by_model and _PRINTABLE.fullmatch(chunk) and "<|" not in chunk):
-                rest.append(chunk)
+                rest.append(at)
                 continue
             ids: list[int] = []
             for piece in _PIECES.findall(chunk.lower()):
                 got = known.get(piece)
                 if got is None:
                     got = [t.id for t in model.tokenize(_byte_symbols(piece))]
-                    if len(piece) <= CHUNK_CHARS:
+                    if len(piece) <= CHUNK_BYTES and len(known) <= PIECES:
                         known[piece] = got
                 ids += got
-            self._add(chunk, ids)
+            out[at] = ids
         for a in range(0, len(rest), 4096):
             part = rest[a:a + 4096]
-            for chunk, encoding in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self._add(chunk, encoding.ids)
+            for at, encoding in zip(part, self.tokenizer.encode_batch([chunks[i] for i in part], add_special_tokens=False), strict=True):
+                out[at] = encoding.ids
+        return out
+
+    def _numbers(self, names: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each chunk, and ids and bounds by number: those remembered, then this time's long ones."""
+        one, two, own = chunk_keys(names)
+        at = np.minimum(np.searchsorted(self.one, one), max(self.one.size - 1, 0))
+        hit = own & (self.one[at] == one) & (self.two[at] == two) if self.one.size else np.zeros(own.size, bool)
+        numbers = np.empty(own.size, np.int64)
+        numbers[hit] = self.number[at[hit]]
+        new = np.concatenate([np.flatnonzero(~hit & own), np.flatnonzero(~own)])
+        made = self._encoded(names.take(pa.array(new)).to_pylist())
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        numbers[new] = self.seen.size + np.arange(new.size)
+        ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))])
+        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size)])
+        short = int((~hit & own).sum())
+        fresh = new[:short][np.argsort(one[new[:short]], kind="stable")]
+        place = np.searchsorted(self.one, one[fresh])
+        self.number = np.insert(self.number, place, numbers[fresh].astype(np.int32))
+        self.one, self.two = np.insert(self.one, place, one[fresh]), np.insert(self.two, place, two[fresh])
+        self.bounds = bounds[:self.seen.size + short + 1]
+        self.ids = ids[:self.bounds[-1]]
+        self.seen = np.concatenate([self.seen, np.zeros(short, np.int32)])
+        self.seen[numbers[own]] += 1
+        return numbers, ids, bounds
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of texts); null counts as empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.number) > self.remembered or self.chars > self.remembered * CHUNK_CHARS:
+        if self.seen.size > self.remembered:
             self._forget()
-        if len(self.pieces) > self.remembered // 2:
-            self.pieces.clear()
-        new = [x for x in names if x not in self.number]
-        if new:
-            self._learn(new)
-        numbers = np.fromiter((self.number[x] for x in names), np.int64, len(names))
-        self.seen[numbers] += 1
-        chunk = numbers[np.asarray(coded.indices)] if names else np.empty(0, np.int64)
-        offsets = self.offsets
-        size = offsets[chunk + 1] - offsets[chunk]
+        numbers, ids, bounds = self._numbers(coded.dictionary)
+        chunk = numbers[np.asarray(coded.indices)] if len(numbers) else np.empty(0, np.int64)
+        size = bounds[chunk + 1] - bounds[chunk]
         total = np.concatenate([[0], np.cumsum(size)])
-        flat = np.arange(total[-1]) - np.repeat(total[:-1] - offsets[chunk], size)
-        bounds = np.asarray(lists.offsets, np.int64)
-        return self.ids[flat], total[bounds - bounds[0]]
+        cut = np.asarray(lists.offsets, np.int64)
+        return ids[_flat(bounds[chunk], size)], total[cut - cut[0]]
 
 
 class FrameWriter:
@@ -295,8 +327,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
         end = np.array([end_id], np.uint32)
 
         def pieces() -> Iterator[bytes]:
-            for docs, texts in _gathered(batches):
+            for n, (docs, texts) in enumerate(_gathered(batches), 1):
                 ids, offsets = encoder.encode(texts)
+                if n % RELEASE == 0:
+                    shared.release()
                 for i, doc in enumerate(docs.to_pylist()):
                     yield from writer.add(doc, np.concatenate([ids[offsets[i]:offsets[i + 1]], end]))
             yield from writer.finish()

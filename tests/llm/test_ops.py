@@ -268,8 +268,19 @@ def test_the_encoders_memory_is_bounded_and_keeps_what_is_frequent():
         text = " ".join(common + [f"rare{k}x{i}" for i in range(50)] + ["z" * 900 + str(k)])
         ids, _ = e.encode(pa.array([text]))
         assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(e.number) <= 300 + 91 and len(e.pieces) <= 150 + 4 * 91
-    assert all(c in e.number for c in common)
+        assert e.number.size == e.one.size == e.seen.size <= 300 + 90 and e.bounds.size == e.seen.size + 1 and e.ids.size == e.bounds[-1]
+        assert (np.diff(e.one.astype(object)) >= 0).all()
+    one, _, own = tokens.chunk_keys(pa.array(common, pa.large_string()))
+    assert own.all() and np.isin(one, e.one).all()
+
+
+def test_chunk_keys_tell_chunks_apart():
+    chunks = sorted({"a" * n for n in range(70)} | {f"{'x' * k}{i}" for k in range(0, 40, 3) for i in range(500)} | {"é", "e", "\u0301", "日本", "日", "ab\0", "ab"})
+    one, two, own = tokens.chunk_keys(pa.array(chunks, pa.large_string()).slice(3))
+    assert own.tolist() == [len(c.encode()) <= tokens.CHUNK_BYTES for c in chunks[3:]]
+    assert np.unique(one[own]).size == np.unique(two[own]).size == own.sum()
+    again = tokens.chunk_keys(pa.array(chunks[::-1], pa.large_string()))
+    assert again[0][::-1][3:][own].tolist() == one[own].tolist() and again[1][::-1][3:][own].tolist() == two[own].tolist()
 
 
 def test_token_files_round_trip(spark, tmp_path, odd, none):
