@@ -49,6 +49,7 @@ class Flow:
 class Config:
     flows: dict[str, Flow]
     storages: dict[str, str]
+    stores: dict[str, tuple[str, Mapping[str, Any]]] = field(default_factory=dict)
 
 
 _REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
@@ -161,7 +162,7 @@ def build(raw: dict, env: Mapping[str, str] | None = None, folder: str = ".") ->
 
     sources, sinks, storages = parts("sources"), parts("sinks"), parts("storages")
     flows = {name: _flow(name, x, sources, sinks, storages) for name, x in (raw.get("flow") or {}).items()}
-    return Config(flows, {n: s["config"].get("path", s["config"].get("url", "")) for n, s in storages.items()})
+    return Config(flows, {n: s["config"].get("path", s["config"].get("url", "")) for n, s in storages.items()}, {n: (s["type"], s["config"]) for n, s in storages.items()})
 
 
 def _reference(name: str, value: Any, known: dict[str, dict], what: str) -> tuple[dict, dict]:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverbend import types as L
 from riverbend.operators.changes import DELETE, OP, UPSERT
+from riverbend.sinks import writers
 from riverbend.sources import JDBC, jdbc_options
-from riverbend.storage import Files
+from riverbend.storage import Files, connector
+
+#: Databases that take upserts and deletes as statements.
+STATEMENTS = ("postgres", "cockroachdb", "mysql", "mariadb", "sqlite")
 
 
 class SinkError(ValueError):
@@ -55,6 +60,10 @@ def merged(existing: DataFrame, batch: DataFrame, conflict: Conflict) -> DataFra
     return out.join(deletes, key, "left_anti").select(*existing.columns)
 
 
+#: A file of this name and a batch's number lists the batches it stands for.
+_FOLDED = "folded="
+
+
 class MergeTable:
     """A Parquet table that is written by adding batches and read by merging them: a write costs what its batch costs, at any table size.
 
@@ -72,10 +81,17 @@ class MergeTable:
             raise SinkError(f"conflict key columns {missing} are not in the sink")
 
     def batches(self) -> list[str]:
-        return [n for n in self.files.names() if n.startswith("batch=") and self.files.exists(f"{n}/_SUCCESS")]
+        """The whole batches, without those that a whole batch stands for."""
+        whole, folded = self._state()
+        return [n for n in whole if n not in folded]
+
+    def _state(self) -> tuple[list[str], set[str]]:
+        names = self.files.names()
+        whole = [n for n in names if n.startswith("batch=") and self.files.exists(f"{n}/_SUCCESS")]
+        return whole, {old for n in names if n.startswith(_FOLDED) and f"batch={n.removeprefix(_FOLDED)}" in whole for old in (self.files.read(n) or "").split("\n")}
 
     def next_id(self) -> int:
-        return max((int(n.split("=")[1]) for n in self.batches()), default=-1) + 1
+        return max((int(n.split("=")[1]) for n in self.files.names() if n.startswith("batch=") or n.startswith(_FOLDED)), default=-1) + 1
 
     def write(self, batch: DataFrame, batch_id: int | None = None) -> Report:
         number = self.next_id() if batch_id is None else batch_id
@@ -110,13 +126,20 @@ class MergeTable:
         return kept.where(F.col(f"r.{OP}") == UPSERT).select(*[F.col(f"r.`{n}`").alias(n) for n in self.schema.names])
 
     def compact(self) -> None:
-        """Folds all batches into one under a new id; the old ones are removed after it is whole."""
+        """Folds all batches into one under a new id; the old ones are removed after it is whole.
+
+        The new batch names those it stands for before it is complete, and readers leave these out from then on: a compaction that stops
+        halfway neither doubles nor loses rows, and the next one removes what is left.
+        """
         found = self.batches()
-        if len(found) < 2:
-            return
-        self.write(self.read(), self.next_id())
-        for n in found:
-            self.files.delete(n)
+        if len(found) > 1:
+            number = self.next_id()
+            self.files.write(f"{_FOLDED}{number:012d}", "\n".join(found))
+            self.write(self.read(), number)
+        whole, folded = self._state()
+        for n in whole:
+            if n in folded:
+                self.files.delete(n)
 
 
 @dataclass(frozen=True)
@@ -131,7 +154,7 @@ class Sink:
         ddl = (self.config.get("columns") or {}).get(table)
         if ddl:
             return T.StructType.fromDDL(ddl)
-        if self.kind in JDBC:
+        if self.kind in JDBC and not ("connect" in self.config or str(self.config.get("url", "")).startswith("http")):
             return spark.read.format("jdbc").options(**jdbc_options(self.kind, self.config, table)).load().schema
         return None
 
@@ -143,7 +166,10 @@ class Sink:
             raise SinkError(f"{self.name}: a questdb sink needs its designated timestamp among the columns")
         if self.kind == "redis":
             commands(self.options.get("mode", "kv"), columns)
-        if self.options and self.kind != "redis":
+        if self.kind == "mongodb" and set(self.options) <= {"root"}:
+            if self.options and self.options["root"] not in columns:
+                raise SinkError(f"{self.name}: the root document {self.options['root']!r} is not among the columns")
+        elif self.options and self.kind != "redis":
             raise SinkError(f"{self.name}: a {self.kind} sink takes no options per flow")
 
     def write(self, batch: DataFrame, table: str, conflict: Conflict | None = None, batch_id: int | None = None, schema: T.StructType | None = None, client: Callable | None = None) -> Report:
@@ -152,12 +178,26 @@ class Sink:
             return MergeTable(batch.sparkSession, f"{self.config['path'].rstrip('/')}/{table}", schema or plain, conflict).write(batch, batch_id)
         if self.kind == "redis":
             return send(batch, self.options.get("mode", "kv"), table, client or self.config["client"])
+        rows = writers.plain(writers.tagged(batch))
+        columns = [c for c in rows.columns if c != OP]
+        key = list(conflict.key) if conflict else []
+        dealt = writers.by_key(rows, key) if key else rows
+        if self.kind == "mongodb":
+            given = client or self.config.get("client") or partial(writers.BulkClient, self.config.get("url", ""), self.config.get("database", ""))
+            return Report(*writers.per_partition(dealt, writers.documents_writer(table, key, conflict.strategy if conflict else None, columns, self.options.get("root"), given)))
+        if self.kind == "clickhouse" and str(self.config.get("url", "")).startswith(("http://", "https://")):
+            types = [(f.name, L.logical_type(f.dataType, f.metadata), f.nullable) for f in (schema or batch.schema).fields if f.name in columns]
+            head = writers.credentials(self.config.get("user"), self.config.get("password"))
+            kept = rows.where(F.col(OP) != DELETE).select(*[F.col(f"`{n}`") for n, _, _ in types])
+            return Report(*writers.per_partition(kept, writers.http_writer(self.config["url"], table, types, head)))
+        if self.kind in STATEMENTS and (conflict is not None or "connect" in self.config or self.kind == "sqlite"):
+            upsert, delete = statements(self.kind, table, columns, conflict)
+            return Report(*writers.per_partition(dealt, writers.statements_writer(upsert, delete, columns, key, connector(self.kind, self.config))))
         if self.kind in JDBC:
-            rows = batch.where(F.col(OP) != DELETE).drop(OP) if OP in batch.columns else batch
-            if conflict is not None:
-                raise SinkError(f"{self.name}: upserts over JDBC need a statement runner (see statements())")
-            rows.write.format("jdbc").options(**jdbc_options(self.kind, self.config, table)).mode("append").save()
-            return Report(-1, 0)
+            seen = Observation()
+            kept = rows.where(F.col(OP) != DELETE).drop(OP).observe(seen, F.count(F.lit(1)).alias("n"))
+            kept.write.format("jdbc").options(**jdbc_options(self.kind, self.config, table)).mode("append").save()
+            return Report(int(seen.get["n"]), 0)
         raise SinkError(f"{self.name}: unknown kind {self.kind!r}")
 
     def dry_run(self, batch: DataFrame, rows: int = 100) -> None:
@@ -221,17 +261,11 @@ def command_rows(batch: DataFrame, mode: str, prefix: str) -> DataFrame:
 def send(batch: DataFrame, mode: str, prefix: str, client: Callable[[], Any]) -> Report:
     """Runs the commands from the executors, one client per partition; ``client()`` gives an object with execute(list of commands)."""
 
-    def run(rows: Iterable) -> None:
-        target, held = client(), []
-        for r in rows:
-            held.append(list(r["command"]))
-            if len(held) == 1000:
-                target.execute(held)
-                held = []
-        if held:
-            target.execute(held)
-
-    made = command_rows(batch, mode, prefix)
-    count = made.count()
-    made.foreachPartition(run)
-    return Report(count, 0)
+    def run(rows: Iterator[dict]) -> tuple[int, int, int]:
+        target, done = client(), 0
+        for some in writers.chunks((list(r["command"]) for r in rows), writers.CHUNK):
+            target.execute(some)
+            done += len(some)
+        return done, 0, 0
+
+    return Report(*writers.per_partition(command_rows(batch, mode, prefix), run))

@@ -57,6 +57,15 @@ class Source:
     def sample(self, spark: SparkSession, table: str, n: int) -> DataFrame:
         return self.read(spark, table).limit(n)
 
+    def present(self, spark: SparkSession, table: str) -> DataFrame | None:
+        """The table as it is now, for lookups on update: ``present`` is its configured folder of Parquet tables, or of JSON lines."""
+        if not self.is_stream or self.options.get("mode", "post-image") != "lookup-on-update" or "present" not in self.config:
+            return None
+        given = self.config["present"]
+        if isinstance(given, Mapping):
+            return Source(self.name, given.get("type", "parquet"), given).read(spark, given.get("table", table))
+        return normalised(spark.read.parquet(parquet_path({"path": given}, table)))
+
     def changes(self, df: DataFrame, keys: Sequence[str], table: DataFrame | None = None) -> DataFrame:
         """Events of a change stream tagged as upserts and deletes, the last of each key. The order column and the operation column are
         configured (``order``, ``operation``); mode ``lookup-on-update`` takes rows from the present table instead of the event."""
@@ -94,7 +103,8 @@ def jdbc_options(kind: str, config: Mapping[str, Any], table: str) -> dict[str,
 
 
 def documents(spark: SparkSession, config: Mapping[str, Any], table: str) -> DataFrame:
-    """A document collection: JSON lines, each kept whole as VARIANT in ``document``, with the fields of ``schema`` beside it.
+    """A document collection: JSON lines, each kept whole as VARIANT in ``document``, with the fields of ``schema`` beside it; a name with
+    dots there is the path of a nested field, and a cursor may order by it.
 
     Without a schema it comes from all documents, in a pass of its own: every field has a column, of a type that holds all its values.
     Fields of several types, and numbers that only a double holds together, stay VARIANT. A value that does not convert is an error there.
@@ -103,7 +113,12 @@ def documents(spark: SparkSession, config: Mapping[str, Any], table: str) -> Dat
     whole = lines.select(F.parse_json("value").alias("document"))
     schema = config.get("schema")
     get = F.try_variant_get if schema else F.variant_get
-    return whole.select(*[get("document", f"$['{n}']", t).alias(n) for n, t in (schema or found_schema(whole)).items()], "document")
+    return whole.select(*[get("document", json_path(n) if schema else f"$['{n}']", t).alias(n) for n, t in (schema or found_schema(whole)).items()], "document")
+
+
+def json_path(name: str) -> str:
+    """The path of a field of nested documents: a.b is the field b of the document a."""
+    return "$" + "".join(f"['{p}']" for p in name.split("."))
 
 
 def found_schema(whole: DataFrame) -> dict[str, str]:

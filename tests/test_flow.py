@@ -1,85 +1,136 @@
 import datetime as dt
 import json
+import time
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
+from riverbend import monitoring
 from riverbend.operators import changes, keyset, lookup
 from riverbend.operators import mapping as M
 from riverbend.plans import config, validate
-from riverbend.plans.flow import Runner
+from riverbend.plans.flow import Metrics, QueryTimeout, Runner, limited
 from riverbend.sinks import Conflict, MergeTable, SinkError, command_rows, merged, statements
 
-ORDERS = """
+READINGS = """
 [[sources]]
-name = "src"
+name = "meters"
 type = "parquet"
-config = { path = "${ROOT}/src" }
+config = { path = "${ROOT}/raw" }
+
 [[sinks]]
-name = "out"
+name = "lake"
 type = "parquet"
-config = { path = "${ROOT}/out", columns = { orders_enriched = "id bigint not null, status bigint, total decimal(12,2), full_name string, status_label string, ingested_at timestamp" } }
+config = { path = "${ROOT}/lake", columns = { daily = "meter string not null, at timestamp not null, litres decimal(9,1), place string, band string" } }
+
 [[storages]]
-name = "state"
-type = "parquet"
-config = { path = "${ROOT}/state" }
-[flow.orders]
-source = "src"
-sink = "out"
-storage = "state"
-from = "orders"
-to = "orders_enriched"
-batch-limit = 3
-[flow.orders.mapping]
-id = "id"
-status = "status"
-total = { compute = "`price` * `qty`", truncate = true, default = 0 }
-[flow.orders.compute-mapping]
-full_name = "concat(`first_name`, ' ', `last_name`)"
-status_label = "if(`status` == 1, 'open', 'closed')"
-ingested_at = "now()"
-[flow.orders.cursor]
-fields = ["id"]
-[flow.orders.conflict]
-key = ["id"]
-strategy = "overwrite"
+name = "marks"
+type = "files"
+config = { path = "${ROOT}/marks" }
+
+[flow.water]
+from = "readings"
+to = "daily"
+source = "meters"
+sink = "lake"
+storage = "marks"
+batch-limit = 2
+query-timeout = "2m"
+cursor = { fields = ["taken", "serial"], interval = "5s" }
+conflict = { key = ["meter", "at"], strategy = "overwrite" }
+
+[flow.water.mapping]
+at = "taken"
+meter = { compute = "upper(`serial`)" }
+litres = { from = "m3", truncate = true }
+place = { from = "site", switch = { "N" = "north", "S" = "south" }, default = "unknown" }
+
+[flow.water.compute-mapping]
+band = "multiIf(`m3` < 1, 'low', `m3` < 10, 'usual', 'high')"
 """
+RAW = "serial string, taken timestamp, m3 double, site string"
+
+
+def reading(i):
+    return (f"w{i % 3}", dt.datetime(2031, 5, 1, i, tzinfo=dt.timezone.utc), 0.25 + i * 1.875, "NSX"[i % 3])
 
 
 @pytest.fixture
 def flow(spark, tmp_path):
-    rows = [(i, "A", f"B{i}", float(i) + 0.129, 2, i % 2) for i in range(8)]
-    spark.createDataFrame(rows, "id bigint, first_name string, last_name string, price double, qty int, status bigint").write.parquet(str(tmp_path / "src/orders.parquet"))
-    path = tmp_path / "config.toml"
-    path.write_text(ORDERS)
-    return config.load(str(path), {"ROOT": str(tmp_path)}).flows["orders"], tmp_path
+    spark.createDataFrame([reading(i) for i in range(9)], RAW).write.parquet(str(tmp_path / "raw/readings.parquet"))
+    (tmp_path / "water.toml").write_text(READINGS)
+    return config.load(str(tmp_path / "water.toml"), {"ROOT": str(tmp_path)}).flows["water"], tmp_path
 
 
-def test_flow_drains_in_batches_and_goes_on_from_its_cursor(spark, flow):
+def lake(spark, f, root):
+    return MergeTable(spark, str(root / "lake/daily"), f.sink.schema(spark, "daily"), f.conflict)
+
+
+def test_flow_drains_in_growing_batches_and_goes_on_from_its_cursor(spark, flow):
     f, root = flow
     assert validate.validate(spark, f) == []
-    metrics = Runner(spark, f, str(root / "state")).once()
-    assert (metrics.rows, metrics.batches) == (8, 3)
-    table = MergeTable(spark, str(root / "out/orders_enriched"), f.sink.schema(spark, "orders_enriched"), f.conflict)
-    got = {r["id"]: r for r in table.read().collect()}
-    assert len(got) == 8 and got[3]["full_name"] == "A B3" and got[3]["status_label"] == "open" and got[2]["status_label"] == "closed"
-    assert str(got[3]["total"]) == "6.25"
-    assert Runner(spark, f, str(root / "state")).once().rows == 0
-    spark.createDataFrame([(20, "C", "D", 1.0, 1, 1)], "id bigint, first_name string, last_name string, price double, qty int, status bigint").write.mode("append").parquet(str(root / "src/orders.parquet"))
-    assert Runner(spark, f, str(root / "state")).once().rows == 1
+    metrics = Runner(spark, f, str(root / "marks")).once()
+    assert (metrics.rows, metrics.batches, metrics.upserts) == (9, 2, 9)  # 2 rows, then up to 16
+    got = {(r["meter"], r["at"].hour): r for r in lake(spark, f, root).read().collect()}
+    assert set(got) == {(f"W{i % 3}", i) for i in range(9)}
+    assert [(str(got[f"W{i % 3}", i]["litres"]), got[f"W{i % 3}", i]["place"], got[f"W{i % 3}", i]["band"]) for i in (0, 1, 5, 6)] == [("0.2", "north", "low"), ("2.1", "south", "usual"), ("9.6", "unknown", "usual"), ("11.5", "north", "high")]
+    assert Runner(spark, f, str(root / "marks")).once().rows == 0
+    spark.createDataFrame([reading(9)], RAW).write.mode("append").parquet(str(root / "raw/readings.parquet"))
+    assert Runner(spark, f, str(root / "marks")).once().rows == 1
+
+
+def test_a_source_that_changes_between_reading_and_writing_loses_nothing(spark, flow):
+    """Rows that come while a batch is written, before and after its end, are written with it or with the next one."""
+    f, root = flow
+    runner = Runner(spark, f, str(root / "marks"))
+    early, late = ("w9", dt.datetime(2031, 5, 1, 0, 30, tzinfo=dt.timezone.utc), 5.0, "N"), ("w8", dt.datetime(2031, 5, 1, 2, 30, tzinfo=dt.timezone.utc), 6.0, "S")
+    real, calls = runner.metrics.timed, []
+
+    def timed(stage, work):
+        if stage == "transform" and not calls:  # the batch's end is known, its rows are not read
+            calls.append(stage)
+            spark.createDataFrame([early, late], RAW).write.mode("append").parquet(str(root / "raw/readings.parquet"))
+            spark.catalog.refreshByPath(str(root / "raw/readings.parquet"))
+        return real(stage, work)
+
+    runner.metrics.timed = timed
+    runner.batch(source=f.source.read(spark, f.table))
+    Runner(spark, f, str(root / "marks")).once()
+    meters = {(r["meter"], r["at"].hour, r["at"].minute) for r in lake(spark, f, root).read().collect()}
+    assert {(f"W{i % 3}", i, 0) for i in range(9)} <= meters and ("W8", 2, 30) in meters
+
+
+def test_a_failed_write_is_done_again(spark, flow, monkeypatch):
+    f, root = flow
+    runner = Runner(spark, f, str(root / "marks"))
+    real, calls = MergeTable.write, []
+
+    def write(self, batch, batch_id=None):
+        out = real(self, batch, batch_id)
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("the connection is gone")
+        return out
+
+    monkeypatch.setattr(MergeTable, "write", write)
+    with pytest.raises(OSError):
+        runner.once()
+    assert runner.metrics.errors == {"write": 1} and runner.once().rows == 9
+    assert lake(spark, f, root).read().count() == 9
 
 
 def test_dry_run_writes_nothing(spark, flow):
     f, root = flow
-    Runner(spark, f, str(root / "state")).once(dry_run=True)
-    assert not (root / "out").exists()
+    Runner(spark, f, str(root / "marks")).once(dry_run=True)
+    assert not (root / "lake").exists() and not (root / "marks").exists()
 
 
 def test_forever_backs_off_and_keeps_the_grid(spark, flow):
     f, root = flow
     waits: list[float] = []
-    runner = Runner(spark, f, str(root / "state"))
-    calls = iter([(3, None), RuntimeError(), RuntimeError(), (1, None)])
+    runner = Runner(spark, f, str(root / "marks"))
+    calls = iter([(2, None), RuntimeError(), RuntimeError(), (1, None)])
 
     def batch():
         x = next(calls)
@@ -88,8 +139,18 @@ def test_forever_backs_off_and_keeps_the_grid(spark, flow):
         return x
 
     runner.batch = batch
-    runner.forever(stop=lambda: len(waits) == 3, sleep=waits.append, clock=lambda: 10.25)
-    assert waits == [1, 4, 0.75]
+    runner.forever(stop=lambda: len(waits) == 3, sleep=waits.append, clock=lambda: 11.25)
+    assert waits == [1, 4, 3.75]
+
+
+def test_a_query_over_its_time_is_stopped(spark):
+    slow = spark.range(1).select(F.pandas_udf(lambda s: (time.sleep(20), s)[1], "long")("id"))
+    began = time.monotonic()
+    with pytest.raises(QueryTimeout), limited(spark, 1.0, "slow"):
+        slow.collect()
+    assert time.monotonic() - began < 15
+    with limited(spark, 30.0, "quick"):
+        assert spark.range(3).count() == 3
 
 
 def test_command_line(spark, flow, capsys, monkeypatch):
@@ -97,12 +158,27 @@ def test_command_line(spark, flow, capsys, monkeypatch):
 
     f, root = flow
     monkeypatch.setenv("ROOT", str(root))
-    path = str(root / "config.toml")
+    path, counters = str(root / "water.toml"), root / "counters"
     assert main(["validate", path]) == 0
-    assert main(["run", path, "--once"]) == 0
-    assert MergeTable(spark, str(root / "out/orders_enriched"), f.sink.schema(spark, "orders_enriched"), f.conflict).read().count() == 8
-    (root / "config.toml").write_text(ORDERS.replace("`price`", "`cost`"))
-    assert main(["validate", path]) == 1 and "cost" in capsys.readouterr().err
+    assert main(["run", path, "--once", "--metrics", str(counters)]) == 0
+    assert lake(spark, f, root).read().count() == 9
+    assert 'riverbend_flow_rows_total{flow="water"} 9' in counters.read_text() and 'riverbend_flow_seconds_total{flow="water",stage="write"}' in counters.read_text()
+    (root / "water.toml").write_text(READINGS.replace("`m3`", "`gallons`"))
+    assert main(["validate", path]) == 1 and "gallons" in capsys.readouterr().err
+    (root / "water.toml").write_text(READINGS.replace("multiIf(`m3` < 1,", "multiIf(toInt8(`m3` * 1000.0) < 1,"))
+    (root / "marks").rename(root / "old-marks")
+    assert main(["run", path, "--once"]) == 1 and "water:" in capsys.readouterr().err  # a flow that fails fails the command
+    with pytest.raises(SystemExit):
+        main(["run", path, "--flow", "nope"])
+
+
+def test_counters_over_http():
+    server = monitoring.serve(lambda: {'a"b': Metrics(rows=7, errors={"read": 2}, seconds={"write": 1.5})}, 0)
+    try:
+        text = urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/metrics").read().decode()
+    finally:
+        server.shutdown()
+    assert 'riverbend_flow_rows_total{flow="a\\"b"} 7' in text and 'riverbend_flow_errors_total{flow="a\\"b",stage="read"} 2' in text and 'stage="write"} 1.5' in text
 
 
 def test_null_is_the_smallest_in_cursor_order(spark):
@@ -202,10 +278,40 @@ def test_configuration():
         config.expand("${NOPE}", {}, {})
 
 
-def test_streaming_flow_of_change_events(spark, flow):
+def test_a_compaction_that_stops_halfway(spark, tmp_path, monkeypatch):
+    t = MergeTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "k int, v string").schema)  # no conflict rule: rows would double
+    for v in "abc":
+        t.write(spark.createDataFrame([(1, v)], "k int, v string"))
+    monkeypatch.setattr(t.files, "delete", lambda name: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        t.compact()
+    again = MergeTable(spark, t.path, t.schema)
+    assert sorted(r["v"] for r in again.read().collect()) == ["a", "b", "c"] and len(again.batches()) == 1
+    again.write(spark.createDataFrame([(2, "d")], "k int, v string"))
+    again.compact()
+    assert sorted(r["v"] for r in again.read().collect()) == ["a", "b", "c", "d"] and len([n for n in again.files.names() if n.startswith("batch=")]) == 1
+
+
+def test_a_stream_starts_anew_after_errors():
+    from riverbend import streaming
+
+    class Query:
+        def __init__(self, error):
+            self.error = error
+
+        def awaitTermination(self):
+            if self.error:
+                raise self.error
+
+    runs, waits = iter([Query(RuntimeError("a")), Query(RuntimeError("b")), Query(None)]), []
+    streaming.forever(lambda: next(runs), "f", sleep=waits.append)
+    assert waits == [1, 4]
+
+
+def test_streaming_flow_of_change_events(spark, tmp_path):
     from riverbend import streaming
 
-    _, root = flow
+    root = tmp_path
     src = root / "ev"
     schema = "_id bigint, name string, operation string, sequence bigint"
     spark.createDataFrame([(1, "a", "insert", 1), (2, "b", "insert", 2), (1, "c", "update", 3)], schema).write.parquet(str(src / "users.parquet"))
@@ -222,3 +328,30 @@ def test_streaming_flow_of_change_events(spark, flow):
         q.awaitTermination()
     table = MergeTable(spark, str(root / "cdc/users"), spark.createDataFrame([], "id bigint, name string").schema, f.conflict)
     assert {r["id"]: r["name"] for r in table.read().collect()} == {1: "c"}
+
+
+def test_lookups_on_update_take_the_configured_table(spark, tmp_path):
+    from riverbend import streaming
+
+    schema = "_id bigint, name string, operation string, sequence bigint"
+    spark.createDataFrame([(1, "old", "insert", 1), (2, "b", "insert", 2), (3, None, "delete", 3)], schema).write.parquet(str(tmp_path / "ev/users.parquet"))
+    spark.createDataFrame([(1, "now")], "_id bigint, name string").write.parquet(str(tmp_path / "present/users.parquet"))
+    raw = {
+        "sources": [{"name": "s", "type": "cdc", "config": {"path": str(tmp_path / "ev"), "present": str(tmp_path / "present")}}], "sinks": [{"name": "o", "type": "parquet", "config": {"path": str(tmp_path / "out")}}],
+        "storages": [{"name": "st", "type": "parquet", "config": {"path": str(tmp_path / "st")}}],
+        "flow": {"users": {"source": {"name": "s", "mode": "lookup-on-update"}, "sink": "o", "storage": "st", "from": "users", "to": "users", "mapping": {"id": "_id", "name": "name"}, "conflict": {"key": ["id"], "strategy": "overwrite"}}},
+    }
+    f = config.build(raw).flows["users"]
+    progress = monitoring.Progress()
+    spark.streams.addListener(progress)
+    try:
+        streaming.start(spark, f, str(tmp_path / "st"), once=True).awaitTermination()
+        for _ in range(50):
+            if progress.metrics:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    table = MergeTable(spark, str(tmp_path / "out/users"), spark.createDataFrame([], "id bigint, name string").schema, f.conflict)
+    assert {r["id"]: r["name"] for r in table.read().collect()} == {1: "now"}
+    assert progress.metrics["users"].rows == 3 and progress.metrics["users"].seconds
