@@ -106,10 +106,11 @@ class Runner:
     #: While draining, a full batch is followed by one of so many times its size, so that passes over a large source grow with its logarithm.
     GROWTH = 8
 
-    def __init__(self, spark: SparkSession, flow: Flow, state: str | Store, client: Callable | None = None, metrics: Metrics | None = None):
+    def __init__(self, spark: SparkSession, flow: Flow, state: str | Store, client: Callable | None = None, metrics: Metrics | None = None, now: Callable[[], dt.datetime] | None = None):
         self.spark, self.flow, self.client = spark, flow, client
         self.cursors = CursorStore(spark, f"{state.rstrip('/')}/cursors") if isinstance(state, str) else state
         self.metrics = metrics or Metrics()
+        self.now = now or (lambda: dt.datetime.now(dt.timezone.utc))
 
     def batch(self, source: DataFrame | None = None, dry_run: bool = False, limit: int | None | Literal["flow"] = "flow") -> tuple[int, Report | None]:
         """One batch: (rows read, what was written)."""
@@ -119,7 +120,7 @@ class Runner:
         part = keyset.scan(rows, flow.cursor, state, flow.ascending, flow.batch_limit if limit == "flow" else limit)
         if dry_run:
             with limited(self.spark, flow.query_timeout, flow.name):
-                m.timed("write", lambda: flow.sink.dry_run(transform(flow, part)))
+                m.timed("write", lambda: flow.sink.dry_run(transform(flow, part, self.now())))
             return 0, None
         with limited(self.spark, flow.query_timeout, flow.name):
             following = m.timed("read", lambda: keyset.last(part, flow.cursor, flow.ascending))
@@ -127,7 +128,7 @@ class Runner:
             return 0, None
         part = keyset.scan(rows, flow.cursor, state, flow.ascending).where(keyset.until(flow.cursor, following, flow.ascending, rows.columns))
         seen = Observation()
-        out = m.timed("transform", lambda: transform(flow, part.observe(seen, F.count(F.lit(1)).alias("n"))))
+        out = m.timed("transform", lambda: transform(flow, part.observe(seen, F.count(F.lit(1)).alias("n")), self.now()))
         flow.sink.check([c for c in out.columns if c != OP], flow.conflict)
         with limited(self.spark, flow.query_timeout, flow.name):
             report = m.timed("write", lambda: flow.sink.write(out, flow.target, flow.conflict, schema=flow.sink.schema(self.spark, flow.target), client=self.client))

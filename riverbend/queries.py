@@ -5,23 +5,35 @@ Expression queries list, for a table, its key columns and (name, expression, SQL
 
 from __future__ import annotations
 
+import atexit
+import copy
 import datetime as dt
+import math
+import re
+import shutil
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from riverbend import streaming
 from riverbend import types as L
 from riverbend.convert import convert
+from riverbend.expr import syntax
 from riverbend.expr.compiler import Compiler
 from riverbend.expr.syntax import parse
 from riverbend.expr.values import Context
 from riverbend.operators import changes, keyset, lookup, mapping
 from riverbend.plans import config
-from riverbend.plans.flow import bulk
-from riverbend.sinks import Conflict, merged
-from riverbend.sources import normalised
+from riverbend.plans.flow import Runner, bulk
+from riverbend.sinks import Conflict, MergeTable, Sink, command_rows, merged
+from riverbend.sources import Source, normalised
 
 CLOCK = dt.datetime(2024, 2, 29, 12, 30, 15, 250_000, tzinfo=dt.timezone.utc)
 
@@ -30,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return normalised(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: The error function's series, for arguments under 1.
+_ERF = "2 / sqrt(pi()) * (" + " + ".join(f"{(-1) ** n / (math.factorial(n) * (2 * n + 1))!r}::double * pow(l_tax, {2 * n + 1})" for n in range(12)) + ")"
+#: FNV-1a of 64 bits over the bytes of a short ASCII text, as the signed number of its bits; the offset and the prime are fixed values.
+_FNV = ("(SELECT CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END::bigint FROM (SELECT list_reduce(list_prepend(14695981039346656037::uhugeint, "
+        "list_transform(string_split(source, ''), lambda c: ascii(c)::uhugeint)), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::hugeint AS h))")
+
 # table, key columns, [(name, expression, SQL)]; a SQL of None leaves the whole query without an oracle.
 EXPRESSIONS: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
     "expr_arithmetic": ("lineitem", "l_orderkey, l_linenumber", [
@@ -113,7 +131,8 @@ EXPRESSIONS: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
         ("x", "isNaN(log(-`l_quantity`))", "true"), ("y", "isInfinite(log(0 * `l_quantity`))", "true"),
     ]),
     "expr_special": ("lineitem", "l_orderkey, l_linenumber", [
-        ("a", "gamma(`l_tax` + 1)", "gamma(l_tax + 1)"), ("b", "lnGamma(`l_quantity`)", "lgamma(l_quantity)"), ("c", "beta(`l_tax` + 1, 2)", "gamma(l_tax + 1) * gamma(2) / gamma(l_tax + 3)"), ("d", "erf(`l_tax`)", None), ("f", "erfc(`l_tax`)", None), ("g", "lambertW(`l_quantity`)", None),
+        ("a", "gamma(`l_tax` + 1)", "gamma(l_tax + 1)"), ("b", "lnGamma(`l_quantity`)", "lgamma(l_quantity)"), ("c", "beta(`l_tax` + 1, 2)", "gamma(l_tax + 1) * gamma(2) / gamma(l_tax + 3)"),
+        ("d", "erf(`l_tax`)", _ERF), ("f", "erfc(`l_tax`)", f"1 - ({_ERF})"), ("g", "lambertW(`l_quantity`) * exp(lambertW(`l_quantity`))", "l_quantity"),
     ]),
     "expr_bitwise": ("orders", "o_orderkey", [
         ("a", "`o_orderkey` & 255", "o_orderkey & 255"), ("b", "`o_orderkey` | 1024", "o_orderkey | 1024"), ("c", "`o_orderkey` ^ `o_custkey`", "xor(o_orderkey, o_custkey)"), ("d", "~`o_orderkey`", "~o_orderkey"), ("f", "`o_orderkey` << 3", "o_orderkey * 8"),
@@ -130,7 +149,8 @@ EXPRESSIONS: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
         ("a", "md5(`text`)", "md5(text)"), ("b", "sha1(`text`)", "sha1(text)"), ("c", "sha256(`text`)", "sha256(text)"), ("d", "len(sha512(`text`))", "128::bigint"), ("f", "hmac('sha256', `source`, 'k') == hmac('sha256', `source`, 'k')", "true"),
         ("g", "hmac('sha256', 'msg', 'key')", "'2d93cbc1be167bcb1637a4a23cbff01a7878f0c50ee833954ea5221bb1b8c628'"),
     ]),
-    "expr_hash": ("documents", "doc_id", [("a", "xxHash64(`text`)", None), ("b", "xxHash32(`text`)", None), ("c", "cityHash64(`source`)", None), ("d", "sipHash64(`source`)", None), ("f", "fnv1a64(`source`)", None)]),
+    "expr_hash": ("documents", "doc_id", [("a", "xxHash64(`text`)", None), ("b", "xxHash32(`text`)", None), ("c", "cityHash64(`source`)", None), ("d", "sipHash64(`source`)", None)]),
+    "expr_fnv": ("documents", "doc_id", [("f", "fnv1a64(`source`)", _FNV), ("g", "fnv1a64('')", "(14695981039346656037::hugeint - 18446744073709551616)::bigint"), ("h", "fnv1a64('a')", "(12638187200555641996::hugeint - 18446744073709551616)::bigint")]),
     "expr_cast": ("customer", "c_custkey", [
         ("a", "toInt8(`c_nationkey`)", "c_nationkey::bigint"), ("b", "toInt16(`c_acctbal`)", "trunc(c_acctbal)::bigint"), ("c", "toInt32(toString(`c_custkey`))", "c_custkey"), ("d", "toInt64(`c_acctbal`)", "trunc(c_acctbal)::bigint"), ("f", "toUInt8(`c_nationkey`)", "c_nationkey::bigint"),
         ("g", "toUInt16(`c_custkey` % 65536)", "c_custkey % 65536"), ("h", "toUInt32(`c_custkey`)", "c_custkey"), ("i", "toString(toUInt64(`c_custkey`))", "c_custkey::varchar"), ("j", "toFloat64(toString(`c_nationkey`))", "c_nationkey::double"), ("k", "toFloat64(toFloat32(`c_nationkey`))", "c_nationkey::double"),
@@ -139,8 +159,13 @@ EXPRESSIONS: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
         ("s", "toStringCast(`c_custkey`)", "c_custkey::varchar"), ("t", "typeof(`c_acctbal`)", "'Float64'"), ("u", "env('RIVERBEND_NO_SUCH_NAME', 'd')", "'d'"), ("v", "seconds(objectId('507f1f77bcf86cd799439011'))", "1350508407::bigint"), ("w", "byteLength(newObjectId())", "12::bigint"),
     ]),
     "expr_random": ("nation", "n_nationkey", [
-        ("a", "randomInt(1, 6)", None), ("b", "randomFloat(0, 1)", None), ("c", "len(toString(randomUuid()))", None), ("d", "len(randomAlphanumeric(20))", None), ("f", "len(randomHex(40))", None), ("g", "byteLength(randomBytes(300))", None), ("h", "randomChoice('a', 'b', 'c')", None),
-        ("i", "randomInt(1, 100, 7) == randomInt(1, 100, 7)", None),
+        ("a", "x = randomInt(1, 6); x >= 1 && x <= 6", "true"), ("b", "x = randomFloat(0, 1); x >= 0 && x < 1", "true"), ("c", "regexMatch(toString(randomUuid()), '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$')", "true"),
+        ("d", "regexMatch(randomAlphanumeric(20), '^[0-9A-Za-z]{20}$')", "true"), ("f", "regexMatch(randomHex(40), '^[0-9a-f]{40}$')", "true"), ("g", "byteLength(randomBytes(300))", "300::bigint"), ("h", "randomChoice('a', 'b', 'c') in ['a', 'b', 'c']", "true"),
+        ("i", "randomInt(1, 100, 7) == randomInt(1, 100, 7)", "true"),
+    ]),
+    "expr_paths": ("customer", "c_custkey", [
+        ("a", "toString(jsPath(toJson({\"k\" = [`c_custkey`, {\"n\" = `c_name`}]}), '$.k[1]'))", "'{\"n\":\"' || c_name || '\"}'"), ("b", "toString(jsPath(parseJson('{\"a\": 1}'), '$.b'))", "null::varchar"),
+        ("c", "toString(jsPath(toJson({\"k\" = [`c_custkey`, 2]}), '$.k'))", "'[' || c_custkey || ',2]'"), ("d", "len(file('values.py')) > 100", "true"), ("f", "startsWith(file('__init__.py'), '\"\"\"')", "true"),
     ]),
 }
 
@@ -148,7 +173,7 @@ EXPRESSIONS: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
 def expression_query(spec: tuple[str, str, list], spark: SparkSession, sf_dir: str) -> DataFrame:
     source, keys, columns = spec
     df = table(spark, sf_dir, source)
-    compiler = Compiler(Context(mapping.source_types(df), CLOCK))
+    compiler = Compiler(Context(mapping.source_types(df), CLOCK, folder=str(Path(syntax.__file__).parent)))
     made = []
     for name, text, _ in columns:
         v = compiler.compile(parse(text))
@@ -158,7 +183,7 @@ def expression_query(spec: tuple[str, str, list], spark: SparkSession, sf_dir: s
 
 
 #: Columns of expression queries that are floats, and so rounded on both sides.
-_FLOATS = {"expr_arithmetic": {"total", "square", "root"}, "expr_json": {"float_at"}, "expr_math": set("abcdfghijklmnopqrstuvw"), "expr_special": set("abc"), "expr_cast": {"j", "k"}}
+_FLOATS = {"expr_arithmetic": {"total", "square", "root"}, "expr_json": {"float_at"}, "expr_math": set("abcdfghijklmnopqrstuvw"), "expr_special": set("abcdfg"), "expr_cast": {"j", "k"}}
 
 
 def expression_sql(name: str) -> str | None:
@@ -186,7 +211,11 @@ FLOW = {
 
 def flow_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An orders flow's whole mapping: rename, lookup, computed columns, conversions to the sink's types."""
-    out = bulk(config.build(FLOW).flows["orders"], spark.read.parquet(f"{sf_dir}/orders.parquet"), CLOCK)
+    return _shown(bulk(config.build(FLOW).flows["orders"], spark.read.parquet(f"{sf_dir}/orders.parquet"), CLOCK))
+
+
+def _shown(out: DataFrame) -> DataFrame:
+    """The flow's rows with cents, milliseconds and a text for the day, which compare exactly."""
     return out.withColumn("total", (F.col("total") * 100).cast("bigint")).withColumnRenamed("total", "total_cents").withColumn("ingested_at", F.unix_millis("ingested_at")).withColumn("placed_on", F.date_format("placed_on", "yyyy-MM-dd"))
 
 
@@ -260,14 +289,128 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the cluster's shared one; in local mode without one, a temporary folder that goes with the driver."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
+        root = tempfile.mkdtemp(prefix="riverbend-")
+        atexit.register(shutil.rmtree, root, True)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[config.Flow, config.Config]:
+    """The orders flow on the given tables, with upserts."""
+    root = scratch(spark, "flow")
+    raw = copy.deepcopy(FLOW)
+    raw["sources"][0]["config"]["path"] = sf_dir
+    raw["sinks"][0]["config"]["path"], raw["storages"][0]["config"]["path"] = f"{root}/out", f"{root}/state"
+    raw["flow"]["orders"]["conflict"] = {"key": ["id"], "strategy": "overwrite"}
+    made = config.build(raw)
+    return made.flows["orders"], made
+
+
+def flow_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders flow from end to end: batches by cursor, mapping, upserts into a merge table, saved cursors; then the table is read."""
+    flow, made = _linked(spark, sf_dir)
+    Runner(spark, flow, made.storages[flow.storage], now=lambda: CLOCK).once()  # one clock for all batches, as the oracle has
+    return _shown(MergeTable(spark, f"{flow.sink.config['path']}/{flow.target}", flow.sink.schema(spark, flow.target), flow.conflict).read())
+
+
+def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change stream of users into a merge table by Structured Streaming, drained; then the table is read."""
+    root = scratch(spark, "changes")
+    _events(spark, sf_dir).write.parquet(f"{root}/events/users.parquet")
+    raw = {
+        "sources": [{"name": "s", "type": "cdc", "config": {"path": f"{root}/events", "order": "event_id"}}], "sinks": [{"name": "o", "type": "parquet", "config": {"path": f"{root}/out"}}],
+        "storages": [{"name": "st", "type": "files", "config": {"path": f"{root}/state"}}],
+        "flow": {"users": {"source": "s", "sink": "o", "storage": "st", "from": "users", "to": "users", "mapping": {"id": "user_id", "event": "event_id", "kind": "event_type"}, "conflict": {"key": ["id"], "strategy": "overwrite"}}},
+    }
+    flow = config.build(raw).flows["users"]
+    streaming.start(spark, flow, f"{root}/state", once=True).awaitTermination()
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("event", T.LongType()), T.StructField("kind", T.StringType())])
+    return MergeTable(spark, f"{root}/out/users", schema, flow.conflict).read()
+
+
+def change_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup on update: the last change of each key, upserts with the present table's row."""
+    present = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_events")).where("user_id % 4 <> 0")
+    last = changes.latest(changes.tag(_events(spark, sf_dir), "operation"), ["user_id"], "event_id").select("user_id", changes.OP)
+    return changes.with_post_images(last, present, ["user_id"]).withColumnRenamed(changes.OP, "op")
+
+
+def mapping_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of nested rows by path, as values, in expressions and as cursor."""
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct(F.struct("s_name", F.col("s_nationkey").alias("nation")).alias("inner"), F.col("s_acctbal").alias("money")).alias("deep"))
+    late = keyset.scan(df, ["deep.inner.nation", "s_suppkey"], (12, 5))
+    return mapping.apply(late, mapping.rules({"id": "s_suppkey", "name": "deep.inner.s_name", "nation": "deep.inner.nation", "money": "deep.money"}))
+
+
+def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of nested documents, read by its configured fields after a cursor on a nested one."""
+    root = scratch(spark, "documents")
+    made = table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("_id"), F.struct(F.col("c_nationkey").alias("nation"), F.array("c_mktsegment").alias("tags")).alias("meta"), "c_name")).alias("value"))
+    made.write.text(f"{root}/people.jsonl")
+    rows = Source("m", "mongodb", {"path": root, "schema": {"_id": "bigint", "meta.nation": "bigint", "c_name": "string"}}).read(spark, "people")
+    return keyset.scan(rows, ["meta.nation", "_id"], (3, 50)).select("_id", F.col("`meta.nation`").alias("nation"), "c_name", F.try_variant_get("document", "$.meta.tags[0]", "string").alias("segment"))
+
+
+def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended to a database over JDBC and read back by cursor (the database that Spark brings along, embedded)."""
+    url = f"jdbc:derby:{tempfile.mkdtemp(prefix='riverbend-')}/db;create=true"
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+    options = {"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df.limit(0).write.format("jdbc").options(dbtable="supplier", **options).save()
+    Sink("d", "postgres", options).write(df, "supplier")
+    return keyset.scan(Source("d", "postgres", options).read(spark, "supplier"), ["s_suppkey"], (10,))
+
+
+def database_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upserts and deletes run as statements on a database (a local file), then its rows."""
+    path = f"{tempfile.mkdtemp(prefix='riverbend-')}/x.db"
+    held = sqlite3.connect(path)
+    held.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT)")
+    held.commit()
+    sink, rule = Sink("s", "sqlite", {"url": path}), Conflict(("n_nationkey",))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    sink.write(nation.coalesce(1), "nation", rule)
+    changed = nation.select("n_nationkey", F.lower("n_name").alias("n_name"), F.when(F.col("n_nationkey") % 5 == 0, F.lit("D")).otherwise(F.lit("U")).alias(changes.OP)).where("n_nationkey % 3 <> 1")
+    sink.write(changed.coalesce(1), "nation", rule)
+    found = held.execute("SELECT n_nationkey, n_name FROM nation").fetchall()
+    held.close()
+    return spark.createDataFrame(found, "n_nationkey bigint, n_name string")
+
+
+def key_value_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands of a key-value sink: sets with an expiry, and deletes."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value"), F.when(F.col("c_custkey") % 2 == 0, F.make_dt_interval(F.lit(0), F.lit(1))).alias("ttl"),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("D")).otherwise(F.lit("U")).alias(changes.OP))
+    return command_rows(rows, "kv", "customer:").select(F.array_join("command", "|").alias("command"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flow_orders": flow_orders, **{name: partial(expression_query, spec) for name, spec in EXPRESSIONS.items()}, "keyset_batch": keyset_batch, "keyset_null_aware": keyset_null_aware,
     "change_events": change_events, "conflict_overwrite": partial(_merge, "overwrite"), "conflict_ignore": partial(_merge, "ignore"), "mapping_wildcard": mapping_wildcard, "lookup_join": lookup_join, "conversions": conversions,
+    **{f.__name__: f for f in (flow_whole, change_stream, change_lookups, mapping_paths, document_source, jdbc_source, database_upserts, key_value_commands)},
 }
 
+_FLOW_SQL = (
+    "SELECT o_orderkey AS id, o_custkey AS customer, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS status, (regexp_extract((o_totalprice * 1.1)::varchar, '^-?[0-9]+([.][0-9]{1,2})?')::decimal(14,2) * 100)::bigint AS total_cents, "
+                   "if(o_totalprice > 150000, 'big', 'small') AS label, o_orderpriority[1]::int AS priority, 'order ' || o_orderkey || '/' || o_orderstatus AS full_name, strftime(o_orderdate, '%Y-%m-%d') AS placed_on, 1709209815250::bigint AS ingested_at FROM orders"
+)
+
 ORACLE_SQL: dict[str, str] = {
-    "flow_orders": "SELECT o_orderkey AS id, o_custkey AS customer, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS status, (regexp_extract((o_totalprice * 1.1)::varchar, '^-?[0-9]+([.][0-9]{1,2})?')::decimal(14,2) * 100)::bigint AS total_cents, "
-                   "if(o_totalprice > 150000, 'big', 'small') AS label, o_orderpriority[1]::int AS priority, 'order ' || o_orderkey || '/' || o_orderstatus AS full_name, strftime(o_orderdate, '%Y-%m-%d') AS placed_on, 1709209815250::bigint AS ingested_at FROM orders",
+    "flow_orders": _FLOW_SQL, "flow_whole": _FLOW_SQL,
+    "change_stream": "SELECT user_id AS id, event_id AS event, event_type AS kind FROM (" + _CHANGES_SQL + ") WHERE op = 'U'",
+    "change_lookups": "SELECT c.user_id, n_events, op FROM (" + _CHANGES_SQL + ") c JOIN (SELECT user_id, count(*) AS n_events FROM events WHERE user_id % 4 <> 0 GROUP BY user_id) p ON c.user_id = p.user_id WHERE op = 'U' "
+                      "UNION ALL SELECT user_id, NULL, op FROM (" + _CHANGES_SQL + ") WHERE op = 'D'",
+    "mapping_paths": "SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation, s_acctbal AS money FROM supplier WHERE (s_nationkey, s_suppkey) > (12, 5)",
+    "document_source": "SELECT c_custkey AS _id, c_nationkey AS nation, c_name, c_mktsegment AS segment FROM customer WHERE (c_nationkey, c_custkey) > (3, 50)",
+    "jdbc_source": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey > 10",
+    "database_upserts": "SELECT n_nationkey::bigint AS n_nationkey, if(n_nationkey % 3 <> 1, lower(n_name), n_name) AS n_name FROM nation WHERE n_nationkey % 3 = 1 OR n_nationkey % 5 <> 0",
+    "key_value_commands": "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'DEL|customer:' || c_custkey ELSE 'SET|customer:' || c_custkey || '|\"' || c_name || '\"' || if(c_custkey % 2 = 0, '|PX|3600000', '') END AS command FROM customer",
     **{name: sql for name in EXPRESSIONS if (sql := expression_sql(name))},
     "keyset_batch": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber LIMIT 500",
     "keyset_null_aware": "SELECT * FROM (SELECT CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 7 END AS rank, o_orderkey AS id FROM orders) WHERE rank < 3 OR rank IS NULL OR (rank = 3 AND id < 100)",
