@@ -67,4 +67,29 @@ FROM src d LEFT JOIN kept ON d.doc = kept.doc
 
 LINE_DEDUP = _line_dedup()
 
-ORACLE_SQL = {"op6_warc": WARC, "op9_line_dedup": LINE_DEDUP, "op10_decontaminate": DECONTAMINATE}
+URL_RULES = f"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, {_LOWER.format("regexp_extract(coalesce(rest, ''), '^[^/?#]*')")} AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+k AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(rule_host, rule_path, verdict)),
+f AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict FROM h JOIN k ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled FROM f GROUP BY page_id)
+SELECT h.page_id, host, path, rule, ruled FROM h LEFT JOIN best ON h.page_id = best.page_id
+"""
+
+# Targets: a source is full when its cap is under its share of what is left; such sources are taken out, the fullest first, until none is.
+MIX_TARGETS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+s AS (SELECT source, sum(size)::bigint AS n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::double AS w FROM d GROUP BY source),
+rounds(step, full_) AS (
+  SELECT 0, []::varchar[]
+  UNION ALL
+  SELECT step + 1, (SELECT list(coalesce('s' || source, 'null')) FROM s WHERE list_contains(r.full_, coalesce('s' || source, 'null'))
+      OR w * ((SELECT 1.5 * sum(n) FROM s) - coalesce((SELECT sum(2.0 * n) FROM s x WHERE list_contains(r.full_, coalesce('s' || x.source, 'null'))), 0)) / (SELECT sum(w) FROM s x WHERE NOT list_contains(r.full_, coalesce('s' || x.source, 'null'))) > 2.0 * n)
+  FROM rounds r WHERE step < (SELECT count(*) FROM s)),
+last AS (SELECT coalesce(full_, []) AS full_ FROM rounds ORDER BY step DESC LIMIT 1),
+t AS (SELECT source, n, CASE WHEN list_contains(full_, coalesce('s' || source, 'null')) THEN 2.0 * n
+    ELSE w * ((SELECT 1.5 * sum(n) FROM s) - coalesce((SELECT sum(2.0 * n) FROM s x WHERE list_contains(full_, coalesce('s' || x.source, 'null'))), 0)) / (SELECT sum(w) FROM s x WHERE NOT list_contains(full_, coalesce('s' || x.source, 'null'))) END AS target FROM s, last)
+SELECT doc_id, size, t.n AS source_size, round(target::double, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+ORACLE_SQL = {"url_rules": URL_RULES, "mix_targets": MIX_TARGETS, "op6_warc": WARC, "op9_line_dedup": LINE_DEDUP, "op10_decontaminate": DECONTAMINATE}

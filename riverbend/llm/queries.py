@@ -68,9 +68,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 says by rule alone: every page's host and path, the rule that fits and its verdict."""
+    found = urls.judge(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op7's mix, which its thresholds have to meet."""
+    found = mixing.allocation(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_language_id, op3_nearest_neighbours, op4_token_files, op5_near_dedup, op6_warc, op7_mixing, op8_quality, op9_line_dedup, op10_decontaminate)
+    for f in (op1_url_filter, op2_language_id, op3_nearest_neighbours, op4_token_files, op5_near_dedup, op6_warc, op7_mixing, op8_quality, op9_line_dedup, op10_decontaminate, url_rules, mix_targets)
 }
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -10,8 +10,10 @@ Records are gzip members of WARC 1.1 files. Of records with equal payloads (of
 at least ``min_bytes`` bytes), that with the smallest page_id is a response, the
 others are revisits that keep its HTTP header, the digest and a reference, but
 no payload. A group of equal payloads is combined before the shuffle to one row
-(smallest id); payload rows meet these by an outer join that Spark may
-broadcast within its size limit, or split where one payload is frequent.
+(smallest id). Which rows are revisits is decided on ids and digests alone; payload rows meet
+only the revisits, by their own id and digest, in an outer join that Spark may
+broadcast within its size limit, or split where one id is frequent. Arrow batches are bounded in bytes, so a task
+holds a few payloads at a time.
 
 Defined cases. Null html is an empty payload; empty payloads take part in
 revisits like others. Null url: the record has no target URI. Null page_id:
@@ -81,21 +83,23 @@ def record(page_id: int | None, url: str | None, payload: memoryview, sha1_hex:
     yield pack.compress(b"\r\n\r\n") + pack.flush()
 
 
-def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """digest (hex), first: the smallest page_id of each payload that more than one page has."""
+def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, digest (hex), first: the pages whose payload another page of a smaller page_id has, and that of the smallest."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     x = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
-    return x.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    x = shared.materialise(x.where(F.col("n") >= min_bytes).groupBy("page_id", "digest").agg(F.lit(1).alias("one")).select("page_id", "digest"), "payloads")
+    group = x.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    return x.join(group, "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first")
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes the archives; returns the manifest (uri, n_records). Files appear whole by rename; a retried task writes its file again."""
     spark = pages.sparkSession
     shared.small_batches(spark)
-    group = shared.materialise(roles(pages, min_bytes), "payloads")
+    again = shared.materialise(revisits(pages, min_bytes), "revisits").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "first")
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     x = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
-    x = x.join(group, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("first"))
+    x = x.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "payload", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -556,6 +556,14 @@ def test_thresholds_are_nested(spark):
     assert all(small[i] <= large[i] for i in small)
 
 
+def test_rows_of_one_hash_share_in_proportion(spark):
+    """One text under one id, many times: one hash, which no threshold parts."""
+    rows = [(1, "five words are in here", "a")] * 10 + [(i, "one two", "b") for i in range(2, 30)]
+    got = mixing.allocation(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1,), share=0.5, cap=2.0).where("source = 'a'").collect()
+    want = 0.5 * (50 + 56) / 2
+    assert {r["target"] for r in got} == {want} and {r["taken"] for r in got} == {int(round(want) * 5 // 50)}
+
+
 def test_mix_of_odd_rows(spark, odd, none):
     rows = mixing.allocation(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
