@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riverbend import types as L
 from riverbend.expr.tree import ExprError
@@ -53,47 +56,76 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fnv1a64(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & MASK
-    return h
-
-
-def _rotate_left(x: int, n: int) -> int:
-    return ((x << n) | (x >> (64 - n))) & MASK
-
-
-def siphash24(data: bytes, k0: int = 0, k1: int = 0) -> int:
-    """SipHash-2-4 (Aumasson and Bernstein)."""
-    v = [k0 ^ 0x736F6D6570736575, k1 ^ 0x646F72616E646F6D, k0 ^ 0x6C7967656E657261, k1 ^ 0x7465646279746573]
-
-    def rounds(n: int) -> None:
-        for _ in range(n):
-            v[0] = (v[0] + v[1]) & MASK
-            v[1] = _rotate_left(v[1], 13) ^ v[0]
-            v[0] = _rotate_left(v[0], 32)
-            v[2] = (v[2] + v[3]) & MASK
-            v[3] = _rotate_left(v[3], 16) ^ v[2]
-            v[0] = (v[0] + v[3]) & MASK
-            v[3] = _rotate_left(v[3], 21) ^ v[0]
-            v[2] = (v[2] + v[1]) & MASK
-            v[1] = _rotate_left(v[1], 17) ^ v[2]
-            v[2] = _rotate_left(v[2], 32)
-
-    whole = len(data) // 8 * 8
-    for at in range(0, whole, 8):
-        m = int.from_bytes(data[at:at + 8], "little")
-        v[3] ^= m
-        rounds(2)
-        v[0] ^= m
-    m = int.from_bytes(data[whole:], "little") | (len(data) & 0xFF) << 56
-    v[3] ^= m
-    rounds(2)
-    v[0] ^= m
-    v[2] ^= 0xFF
-    rounds(4)
-    return v[0] ^ v[1] ^ v[2] ^ v[3]
+class _Batch:
+    """Texts of a batch by falling size, so that those with a byte at some place are the first ones."""
+
+    def __init__(self, values: list[bytes]):
+        size = np.fromiter(map(len, values), np.int64, len(values))
+        self.order = np.argsort(-size, kind="stable")
+        self.size = size[self.order]
+        self.start = (np.cumsum(size) - size)[self.order]
+        self.raw = np.frombuffer(b"".join(values) + b"\0" * 8, np.uint8)
+
+    def longer(self, n: int) -> int:
+        """How many have more than n bytes."""
+        return int(np.searchsorted(-self.size, -n))
+
+    def back(self, found: np.ndarray) -> np.ndarray:
+        out = np.empty_like(found)
+        out[self.order] = found
+        return out
+
+
+def fnv1a64(values: list[bytes]) -> np.ndarray:
+    """FNV-1a of every text at once, byte by byte."""
+    b = _Batch(values)
+    h = np.full(len(values), 0xCBF29CE484222325, np.uint64)
+    for at in range(int(b.size[0]) if len(values) else 0):
+        n = b.longer(at)
+        h[:n] = (h[:n] ^ b.raw[b.start[:n] + at]) * np.uint64(0x100000001B3)
+    return b.back(h)
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def siphash24(values: list[bytes], k0: int = 0, k1: int = 0) -> np.ndarray:
+    """SipHash-2-4 (Aumasson and Bernstein) of every text at once, word by word."""
+    b = _Batch(values)
+    v0, v1, v2, v3 = (np.full(len(values), k ^ c, np.uint64) for k, c in ((k0, 0x736F6D6570736575), (k1, 0x646F72616E646F6D), (k0, 0x6C7967656E657261), (k1, 0x7465646279746573)))
+
+    def rounds(n: int, many: int) -> None:
+        a, c, d, e = v0[:n], v1[:n], v2[:n], v3[:n]
+        for _ in range(many):
+            a += c
+            c[:] = _rotated(c, 13) ^ a
+            a[:] = _rotated(a, 32)
+            d += e
+            e[:] = _rotated(e, 16) ^ d
+            a += e
+            e[:] = _rotated(e, 21) ^ a
+            d += c
+            c[:] = _rotated(c, 17) ^ d
+            d[:] = _rotated(d, 32)
+
+    def absorb(n: int, m: np.ndarray) -> None:
+        v3[:n] ^= m
+        rounds(n, 2)
+        v0[:n] ^= m
+
+    def word(at: np.ndarray) -> np.ndarray:
+        return b.raw[at[:, None] + np.arange(8)].view("<u8")[:, 0]
+
+    for k in range(0, int(b.size[0]) - 7 if len(values) else 0, 8):
+        n = b.longer(k + 7)
+        absorb(n, word(b.start[:n] + k))
+    rest = b.size % 8
+    last = word(b.start + b.size - rest) & np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)[rest]
+    absorb(len(values), last | (b.size.astype(np.uint64) << np.uint64(56)))
+    v2 ^= np.uint64(0xFF)
+    rounds(len(values), 4)
+    return b.back(v0 ^ v1 ^ v2 ^ v3)
 
 
 # Primes of CityHash64 1.0.2; fixed values.
@@ -173,19 +205,24 @@ def city64(s: bytes) -> int:
     return _hash16((_hash16(v[0], w[0]) + _shift_mix(y) * K1 + z) & MASK, (_hash16(v[1], w[1]) + x) & MASK)
 
 
-_HASHES = {
-    "xxHash64": lambda b: signed(xxhash.xxh64_intdigest(bytes(b))), "xxHash32": lambda b: xxhash.xxh32_intdigest(bytes(b)), "cityHash64": lambda b: signed(city64(bytes(b))),
-    "sipHash64": lambda b: signed(siphash24(bytes(b))), "fnv1a64": lambda b: signed(fnv1a64(bytes(b))),
-}
+_HASHES = {"xxHash64": lambda b: signed(xxhash.xxh64_intdigest(bytes(b))), "xxHash32": lambda b: xxhash.xxh32_intdigest(bytes(b)), "cityHash64": lambda b: signed(city64(bytes(b)))}
+_BATCHES = {"sipHash64": siphash24, "fnv1a64": fnv1a64}
 
 
-def _hash(name: str, f) -> None:
-    udf = vectorised(object, "bigint", f)
-
+def _hash(name: str, udf) -> None:
     @function(name, 1)
     def compiled(_: Context, v: Value) -> Value:
         return Value(udf(_bytes(name, v)), L.INT64)
 
 
+def _of_batches(f):
+    def call(column: pa.Array) -> pa.Array:
+        return pa.array(f([b if b is not None else b"" for b in column.to_pylist()]).view(np.int64), mask=np.asarray(column.is_null()))
+
+    return F.arrow_udf(call, T.LongType())
+
+
 for _name, _f in _HASHES.items():
-    _hash(_name, _f)
+    _hash(_name, vectorised(object, "bigint", _f))
+for _name, _f in _BATCHES.items():
+    _hash(_name, _of_batches(_f))

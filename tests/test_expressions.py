@@ -92,8 +92,18 @@ def test_fields_and_templates(spark):
 
 
 def test_hashes():
-    assert siphash24(bytes(range(15)), int.from_bytes(bytes(range(8)), "little"), int.from_bytes(bytes(range(8, 16)), "little")) == 0xA129CA6149BE45E5  # the paper's vector
-    assert fnv1a64(b"a") == 0xAF63DC4C8601EC8C and city64(b"") == 0x9AE16A3B2F90404F
+    key = int.from_bytes(bytes(range(8)), "little"), int.from_bytes(bytes(range(8, 16)), "little")
+    texts = [bytes(i % 256 for i in range(n)) for n in (15, 0, 7, 8, 9, 63, 64, 300)]
+    assert siphash24(texts, *key)[0] == 0xA129CA6149BE45E5  # the paper's vector
+    assert siphash24(texts, *key).tolist() == [int(siphash24([t], *key)[0]) for t in texts] and siphash24([]).size == fnv1a64([]).size == 0
+
+    def plain(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    assert fnv1a64(texts).tolist() == [plain(t) for t in texts] and fnv1a64([b"a"])[0] == 0xAF63DC4C8601EC8C and city64(b"") == 0x9AE16A3B2F90404F
     assert len({city64(b"x" * n) for n in range(200)}) == 200
 
 
