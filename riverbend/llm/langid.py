@@ -241,8 +241,11 @@ def best(net: Network | None, texts: pa.Array, letters: pa.Array) -> tuple[pa.Ar
     return pa.array(np.where(ok, names[at], "und").tolist(), pa.string()), pa.array(np.where(ok, np.minimum(probability.max(1), 1.0), 0.0))
 
 
-def keep_known(docs: DataFrame, net: Network | None, min_score: float = 0.4) -> DataFrame:
-    """docs without the rows whose language is not known: ``und``, or a score under min_score. Rows stream by; nothing is shuffled."""
+def keep_known(docs: DataFrame, net: Network | None, min_score: float = 0.0) -> DataFrame:
+    """docs without the rows that are rejected: ``und``, or a score under min_score. Rows stream by; nothing is shuffled.
+
+    A text of several languages has a low score in each however clean it is, so by default none is rejected for its score.
+    """
     held = docs.sparkSession.sparkContext.broadcast(net)
     shared.small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
