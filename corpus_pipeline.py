@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
 
-1. language: rows whose language is not known (no letter, or a score under 0.4) go.
+1. language: rows whose language is not known (null texts and texts without a letter) go.
 2. near_dedup: one document of each near-duplicate class stays, the one with the smallest doc_id.
 3. decontaminate: documents that hold a window of the benchmark go.
 4. mix: sources are mixed to target weights; a document may appear twice.
