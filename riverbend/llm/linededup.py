@@ -38,6 +38,8 @@ MIN_DOCS = 5
 #: Templates of more tokens than this are passages, which recur from this number of documents on.
 LONG, LONG_DOCS = 50, 2
 ROUNDS = 4
+#: Tasks that lines of one group are dealt to.
+SALTS = 16
 #: Pattern of one token; separators are ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -93,21 +95,27 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING,
     return shared.materialise(drop.distinct(), "dropped-lines"), seen.select("text", "leaf", "line")
 
 
+def _salted(rows: DataFrame, of_group: DataFrame, salt: Column) -> DataFrame:
+    """rows joined with the one row of their group; a group of very many rows is dealt to SALTS tasks."""
+    each = of_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(each, ["group", "salt"]).drop("salt")
+
+
 def _templates(lines: DataFrame, likeness: float) -> DataFrame | None:
     """leaf, line, need, template of the lines (leaf, line, n, need, tokens) that belong to a template of several lines."""
     live = lines.withColumn("group", F.col("leaf"))
     found = None
     for turn in range(ROUNDS):
-        sums = live.groupBy("group").agg(F.sum("n").alias("total")).join(live.groupBy("group").agg(F.max("need").alias("least")), "group").where("total >= least")
+        sums = live.groupBy("group").agg(F.sum("n").alias("total"), F.max("need").alias("least")).where("total >= least")
         at = live.select("group", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("group", "pos", "token").agg(F.sum("n").alias("n"))
-        at = shared.materialise(at.join(sums, "group"), "positions")
+        at = shared.materialise(_salted(at, sums, F.xxhash64("pos", "token")), "positions")
         # At most one constant a position, so a group's entry is no longer than its lines.
         constant = at.where(F.col("n") * 2 > F.col("total")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("constants"))
         many = at.where((F.col("n") >= F.col("least")) & (F.col("n") < F.col("total")) & (F.pmod("token", F.lit(2)) == 0))
         pivot = many.groupBy("group", "pos").agg(F.sum("n").alias("held"), F.count("*").alias("ways")).groupBy("group")
         pivot = pivot.agg(F.min(F.struct(-F.col("held"), -F.col("ways"), "pos")).alias("p")).select("group", F.col("p.pos").alias("pivot"))
         info = shared.materialise(sums.select("group").join(constant, "group", "left").join(pivot, "group", "left"), "templates")
-        x = live.join(info, "group")
+        x = _salted(live, info, F.col("line"))
         same = F.aggregate(F.transform("tokens", lambda t, i: F.coalesce(F.element_at("constants", i) == t, F.lit(False)).cast("int")), F.lit(0), lambda a, b: a + b)
         x = shared.materialise(x.withColumn("fits", F.coalesce(same >= F.lit(likeness) * F.size("tokens"), F.lit(False))).drop("constants"), "fitted")
         new = x.where("fits").select("leaf", "line", "need", F.xxhash64(F.lit(turn), "group").alias("template"))
@@ -115,7 +123,7 @@ def _templates(lines: DataFrame, likeness: float) -> DataFrame | None:
         if turn == ROUNDS - 1 or not x.where("not fits").head(1):
             break
         some = x.groupBy("group").agg(F.max("fits").alias("some"))
-        rest = x.where("not fits").join(some, "group").withColumn("at", F.get("tokens", F.col("pivot")))
+        rest = _salted(x.where("not fits"), some, F.col("line")).withColumn("at", F.get("tokens", F.col("pivot")))
         common = many.select("group", F.col("pos").alias("pivot"), F.col("token").alias("at"), F.lit(True).alias("common"))
         rest = rest.where("some or pivot is not null").join(common, ["group", "pivot", "at"], "left")
         child = F.when(F.col("some"), F.xxhash64(F.lit("rest"), "group")).otherwise(F.xxhash64(F.lit("split"), "group", "pivot", F.when(F.col("common"), F.col("at"))))
