@@ -16,7 +16,8 @@
    components, and a bucket is closed when the members that were no centre yet
    lie in one component. What is left outside a bucket's largest component is
    then compared with the members of like total weight in blocks, within tasks, on
-   their samples alone and each pair in its first common band only. So every
+   their samples alone and each pair in its first common band only; members that have a like one left in a
+   block then meet there with their tables, and a block gives no more links than join its components. So every
    candidate pair of different components is compared, and no link between different texts is lost.
 4. Exact total weights (J <= min/max) and the samples themselves (``MATCHES`` of
    all) rule out pairs first. Comparisons then use the whole shingle tables of both
@@ -63,8 +64,8 @@ DRAWS = 1 << 14
 #: By round, from which members of an open bucket centres are taken and how many: anywhere first, then in the largest component,
 #: which pulls in what is left at a cost of what is left. What is still left then is compared in blocks.
 ROUNDS = (("any", 1), ("main", 1), ("main", 4))
-#: Members of a bucket in one block of the last comparison.
-BLOCK = 256
+#: Members of a bucket on each side of one block of the last comparison, and bytes of their tables, about.
+BLOCK, BLOCK_BYTES = 4096, 24 << 20
 #: Total weights of one class differ by less than this factor; texts of 0.8 and more are in one class or in neighbouring ones.
 WEIGHT_CLASS = 1.3
 
@@ -446,43 +447,93 @@ def _centres(live: DataFrame, turn: int, where: str, many: int) -> DataFrame:
     return shared.materialise(chosen.select("band", "hash", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"), F.col("c.weight").alias("wa")), "centres", 2)
 
 
-def _blocks(live: DataFrame, marks: DataFrame, similarity: float, matches: int) -> DataFrame:
-    """Pairs that may be links between what is outside a bucket's main component and its members that were no centre.
+class _Tables:
+    """Packed shingle tables of a block, flat, so that one text is compared with many at once."""
 
-    Members meet by classes of total weight, each with its neighbours, in blocks of BLOCK each; blocks carry samples and no tables.
+    def __init__(self, packed: pa.Array):
+        parts = [p.as_buffer() for p in packed]
+        self.sizes = np.array([len(p) // 12 for p in parts], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.shingle = _flat([np.frombuffer(p, "<u8", n) for p, n in zip(parts, self.sizes, strict=True)], "<u8")
+        self.weight = _flat([np.frombuffer(p, "<f4", n, 8 * n) for p, n in zip(parts, self.sizes, strict=True)], "<f4").astype(np.float64)
+        self.total = np.add.reduceat(np.append(self.weight, 0), self.start[:-1]) * (self.sizes > 0)
+
+    def jaccard(self, p: int, q: np.ndarray) -> np.ndarray:
+        """Exact weighted Jaccard similarities of row p with the rows q."""
+        own = slice(self.start[p], self.start[p + 1])
+        s, w = self.shingle[own], self.weight[own]
+        n = self.sizes[q]
+        at = np.arange(n.sum()) + np.repeat(self.start[q] - (np.cumsum(n) - n), n)
+        other, row = self.shingle[at], np.repeat(np.arange(q.size), n)
+        place = np.minimum(np.searchsorted(s, other), s.size - 1)
+        both = s[place] == other
+        common = np.bincount(row[both], np.minimum(w[place[both]], self.weight[at[both]]), q.size)
+        return common / (self.total[p] + self.total[q] - common)
+
+
+def _like(marks: np.ndarray, weight: np.ndarray, p: int, q: np.ndarray, band: int, similarity: float, matches: int) -> np.ndarray:
+    """Those of q that may be like p by total weight and samples, and share no band before this one with it."""
+    q = q[np.minimum(weight[q], weight[p]) >= np.maximum(weight[q], weight[p]) * (similarity - 1e-6)]
+    apart = marks[q] ^ marks[p]
+    return q[(apart[:, :band] != 0).all(1) & ((np.ascontiguousarray(apart).view(np.uint16) == 0).sum(1) >= matches)]
+
+
+def _blocks(live: DataFrame, marks: DataFrame, tables: DataFrame, similarity: float, matches: int) -> DataFrame:
+    """Links between what is outside a bucket's main component and its members that were no centre, as many as join their components.
+
+    Members meet by classes of total weight, each with its neighbours, in blocks, by their samples. Members with a like one in a block
+    meet there again with their tables, which a block has once each.
     """
-    step = max(WEIGHT_CLASS, 1.04 / similarity)
-    undone = live.where("not done").drop("done").withColumn("class", F.floor(F.log("weight") / float(np.log(step))))
+    step = float(np.log(max(WEIGHT_CLASS, 1.04 / similarity)))
+    undone = live.where("not done").drop("done").withColumn("class", F.floor(F.log("weight") / step))
     keep = ["band", "hash", "node", "weight", "comp"]
     left = undone.where(F.col("comp") != F.col("main")).select(*keep, F.lit(0).alias("side"), "class")
     right = undone.select(*keep, F.lit(1).alias("side"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
     both = left.unionByName(right)
-    some = lambda side: F.ceil(F.sum((F.col("side") == side).cast("int")) / BLOCK).cast("int")
+    # A table has 12 bytes for a shingle, whose weight is 1 at least.
+    room = F.greatest(F.lit(64.0), F.least(F.lit(float(BLOCK)), BLOCK_BYTES / (F.lit(12.0) * F.exp((F.col("class") + 2) * step))))
+    some = lambda side: F.ceil(F.sum((F.col("side") == side).cast("int")) / F.max(room)).cast("int")
     count = both.groupBy("band", "hash", "class").agg(some(0).alias("rows"), some(1).alias("cols")).where("rows > 0")
     x = both.join(shared.materialise(count, "block-counts", 2), ["band", "hash", "class"])
     draw = F.xxhash64("node", F.lit("block"))
     i, j = F.pmod(draw, F.col("rows")).cast("int"), F.pmod(draw, F.col("cols")).cast("int")
     one = x.where("side = 0").select(*keep, "side", "class", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
     two = x.where("side = 1").select(*keep, "side", "class", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), j.alias("j"))
-    rows = one.unionByName(two).join(marks, "node")
+    members = one.unionByName(two).groupBy("band", "hash", "class", "i", "j", "node", "weight", "comp").agg(F.min("side").alias("least"), F.max("side").alias("most"))
+    rows = members.withColumn("block", F.sha1(F.to_json(F.struct("band", "hash", "class", "i", "j")).cast("binary"))).select("block", "band", "node", "weight", "comp", "least", "most").join(marks, "node")
+
+    columns = rows.columns
 
-    def run(group: pa.Table) -> pa.Table:
-        side, weight = group["side"].to_numpy(), group["weight"].to_numpy()
+    def parts(group: pa.Table) -> tuple[np.ndarray, ...]:
         comp = group["comp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        node = group["node"].to_pylist()
-        band = int(group["band"][0].as_py())
-        marks_ = np.stack([group[b].to_numpy() for b in _BAND_NAMES], 1)
-        other = np.flatnonzero(side == 1)
+        own, other = (np.flatnonzero(group[c].to_numpy() == k) for c, k in (("least", 0), ("most", 1)))
+        return np.stack([group[b].to_numpy() for b in _BAND_NAMES], 1), group["weight"].to_numpy(), comp, own, other, int(group["band"][0].as_py())
+
+    def likely(group: pa.Table) -> pa.Table:
+        marks_, weight, comp, own, other, band = parts(group)
+        hit = np.zeros(weight.size, bool)
+        for p in own:
+            q = _like(marks_, weight, p, other[comp[other] != comp[p]], band, similarity, matches)
+            hit[q] = True
+            hit[p] |= q.size > 0
+        return group.select(columns).filter(pa.array(hit))
+
+    def verify(group: pa.Table) -> pa.Table:
+        marks_, weight, comp, own, other, band = parts(group)
+        held, node = _Tables(group["packed"].combine_chunks()), group["node"].to_pylist()
+        comp = comp.copy()
         out: list[tuple[bytes, bytes]] = []
-        for p in np.flatnonzero(side == 0):
-            q = other[comp[other] != comp[p]]
-            q = q[np.minimum(weight[q], weight[p]) >= np.maximum(weight[q], weight[p]) * (similarity - 1e-6)]
-            apart = marks_[q] ^ marks_[p]
-            q = q[(apart[:, :band] != 0).all(1) & ((np.ascontiguousarray(apart).view(np.uint16) == 0).sum(1) >= matches)]
-            out += [(min(node[p], node[k]), max(node[p], node[k])) for k in q]
+        for p in own:
+            q = _like(marks_, weight, p, other[comp[other] != comp[p]], band, similarity, matches)
+            q = q[held.jaccard(int(p), q) >= similarity] if q.size else q
+            for c, k in zip(*np.unique(comp[q], return_index=True), strict=True):  # one link joins a component
+                out.append((min(node[p], node[q[k]]), max(node[p], node[q[k]])))
+                comp[comp == c] = comp[p]
         return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
-    return rows.groupBy("band", "hash", "class", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    met = shared.materialise(rows.groupBy("block").applyInArrow(likely, rows.schema), "block-members")
+    full = met.join(tables.hint("merge"), "node")
+    return full.groupBy("block").applyInArrow(verify, "a binary, b binary").distinct()
 
 
 def links(sig: DataFrame, tables_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, rounds: tuple[tuple[str, int], ...] = ROUNDS, matches: int = MATCHES) -> tuple[DataFrame | None, DataFrame | None]:
@@ -529,8 +580,7 @@ def links(sig: DataFrame, tables_of: Callable[[DataFrame], DataFrame], similarit
         bands = bands.select("band", "hash", "node", "weight", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done"))
     live = _open(bands, comp)
     if live.head(1):
-        pairs = _blocks(live, marks, similarity, matches).join(tried, ["a", "b"], "left_anti")
-        new = verified(shared.materialise(pairs, "likely", 2))
+        new = shared.materialise(_blocks(live, marks, tables, similarity, matches), "links")
         if new.head(1):
             found = found.unionByName(new)
             comp = components(found)
