@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from riverbend.expr.compiler import compile_expression
 from riverbend.expr.values import Context
 from riverbend.operators import keyset, mapping
+from riverbend.operators.changes import OP
 from riverbend.plans import flow as flows
 from riverbend.plans.config import Flow
 
@@ -56,5 +58,23 @@ def validate(spark: SparkSession, flow: Flow) -> list[str]:
     sampling = on.get("sampling", False)
     size = sampling.get("size", SAMPLE) if isinstance(sampling, dict) else SAMPLE
     if not found and (sampling.get("enabled", True) if isinstance(sampling, dict) else sampling):
-        check(lambda: flow.sink.dry_run(flows.transform(flow, flow.source.sample(spark, flow.table, size)), size))
+        check(lambda: tick(spark, flow, size))
     return found
+
+
+def tick(spark: SparkSession, flow: Flow, size: int = SAMPLE) -> int:
+    """A batch of at most size rows as the flow would run it from the start, all of it but the write and the saved cursor: how many rows came through."""
+    rows = flow.source.read(spark, flow.table)
+    if flow.source.is_stream:
+        by_sink = {r.to: r.source for r in flow.rules if r.source is not None}
+        part = flow.source.changes(rows.limit(size), [by_sink.get(k, k) for k in flow.conflict.key], flow.source.present(spark, flow.table))
+    else:
+        part = keyset.scan(rows, flow.cursor, None, flow.ascending, size)
+        if keyset.last(part, flow.cursor, flow.ascending) is None:
+            return 0
+    with flows.limited(spark, flow.query_timeout, flow.name):
+        out = flows.transform(flow, part)
+        flow.sink.check([c for c in out.columns if c != OP], flow.conflict)
+        seen = Observation()
+        flow.sink.dry_run(out.observe(seen, F.count(F.lit(1)).alias("n")), size)
+    return int(seen.get["n"])

@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import json
 import time
@@ -120,6 +121,14 @@ def test_a_failed_write_is_done_again(spark, flow, monkeypatch):
     assert lake(spark, f, root).read().count() == 9
 
 
+def test_a_sampled_tick_finds_rows_that_do_not_convert(spark, flow):
+    f, root = flow
+    assert validate.tick(spark, f, 4) == 4 and not (root / "lake").exists()
+    spark.createDataFrame([("w1", dt.datetime(2030, 1, 1, tzinfo=dt.timezone.utc), float("nan"), "N")], RAW).write.mode("append").parquet(str(root / "raw/readings.parquet"))
+    on = dataclasses.replace(f, validation={"sampling": {"enabled": True, "size": 3}})
+    assert validate.validate(spark, f) == [] and [x.split(":")[0] for x in validate.validate(spark, on)] == ["water"]
+
+
 def test_dry_run_writes_nothing(spark, flow):
     f, root = flow
     Runner(spark, f, str(root / "marks")).once(dry_run=True)
