@@ -18,6 +18,7 @@ from collections.abc import Callable
 from functools import partial
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ from riverbend.operators import changes, keyset, lookup, mapping
 from riverbend.plans import config
 from riverbend.plans.flow import Runner, bulk
 from riverbend.sinks import Conflict, MergeTable, Sink, command_rows, merged
+from riverbend.sinks.writers import nullable_value
 from riverbend.sources import Source, normalised
 
 CLOCK = dt.datetime(2024, 2, 29, 12, 30, 15, 250_000, tzinfo=dt.timezone.utc)
@@ -146,10 +148,16 @@ EXPRESSIONS: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
         ("decoded", "decodeText(decode(encode(bytesFromUtf8(`lang`), 'base64url'), 'base64url'), 'utf-8')", "lang"), ("latin", "hex(encodeText('é', 'windows-1252'))", "'e9'"),
     ]),
     "expr_digest": ("documents", "doc_id", [
-        ("a", "md5(`text`)", "md5(text)"), ("b", "sha1(`text`)", "sha1(text)"), ("c", "sha256(`text`)", "sha256(text)"), ("d", "len(sha512(`text`))", "128::bigint"), ("f", "hmac('sha256', `source`, 'k') == hmac('sha256', `source`, 'k')", "true"),
+        ("a", "md5(`text`)", "md5(text)"), ("b", "sha1(`text`)", "sha1(text)"), ("c", "sha256(`text`)", "sha256(text)"), ("d", "len(sha512(`text`))", "128::bigint"), ("f", "hmac('sha256', `source`, 'k')", "sha256(unhex('37' || repeat('5c', 63)) || unhex(sha256(unhex('5d' || repeat('36', 63)) || encode(source))))"),
+        ("h", "sha512('abc')", "'ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f'"),
         ("g", "hmac('sha256', 'msg', 'key')", "'2d93cbc1be167bcb1637a4a23cbff01a7878f0c50ee833954ea5221bb1b8c628'"),
     ]),
     "expr_hash": ("documents", "doc_id", [("a", "xxHash64(`text`)", None), ("b", "xxHash32(`text`)", None), ("c", "cityHash64(`source`)", None), ("d", "sipHash64(`source`)", None)]),
+    # Published vectors of the hashes, as the signed numbers of their bits; fixed values.
+    "expr_hash_vectors": ("nation", "n_nationkey", [
+        ("a", "xxHash64('')", f"{0xEF46DB3751D8E999 - 2**64}::bigint"), ("b", "xxHash64('abc')", f"{0x44BC2CF5AD770999}::bigint"), ("c", "xxHash32('')", f"{0x02CC5D05}::bigint"), ("d", "xxHash32('abc')", f"{0x32D153FF}::bigint"),
+        ("f", "sipHash64('')", f"{0x1E924B9D737700D7}::bigint"), ("g", "cityHash64('')", f"{0x9AE16A3B2F90404F - 2**64}::bigint"),
+    ]),
     "expr_fnv": ("documents", "doc_id", [("f", "fnv1a64(`source`)", _FNV), ("g", "fnv1a64('')", "(14695981039346656037::hugeint - 18446744073709551616)::bigint"), ("h", "fnv1a64('a')", "(12638187200555641996::hugeint - 18446744073709551616)::bigint")]),
     "expr_cast": ("customer", "c_custkey", [
         ("a", "toInt8(`c_nationkey`)", "c_nationkey::bigint"), ("b", "toInt16(`c_acctbal`)", "trunc(c_acctbal)::bigint"), ("c", "toInt32(toString(`c_custkey`))", "c_custkey"), ("d", "toInt64(`c_acctbal`)", "trunc(c_acctbal)::bigint"), ("f", "toUInt8(`c_nationkey`)", "c_nationkey::bigint"),
@@ -390,10 +398,37 @@ def key_value_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return command_rows(rows, "kv", "customer:").select(F.array_join("command", "|").alias("command"))
 
 
+def key_value_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands of the other modes: deletes, lists, streams and messages."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("value"))
+    made = [command_rows(nation.select(*columns), mode, "n:").select(F.lit(mode).alias("mode"), F.array_join("command", "|").alias("command")) for mode, columns in (("kv-delete", ["key"]), ("list", ["key", "value"]), ("stream", ["key", "value"]), ("pubsub", ["value"]))]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+def column_store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column store's row format: a key, a nullable text and a decimal, as hexadecimal digits."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"))
+    types = [("c_custkey", L.INT64, False), ("c_name", L.TEXT, True), ("c_acctbal", L.decimal(12, 2), False)]
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            yield pa.RecordBatch.from_pydict({"c_custkey": [r["c_custkey"] for r in rows], "digits": [b"".join(nullable_value(r[n], t, null) for n, t, null in types).hex() for r in rows]})
+
+    return df.mapInArrow(run, "c_custkey bigint, digits string")
+
+
+def sample_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's sample: so many rows (the limit is the feature), each of them the table's."""
+    source = Source("s", "parquet", {"path": sf_dir})
+    some = source.sample(spark, "orders", 25)
+    return some.join(source.read(spark, "orders"), some.columns, "left_semi").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flow_orders": flow_orders, **{name: partial(expression_query, spec) for name, spec in EXPRESSIONS.items()}, "keyset_batch": keyset_batch, "keyset_null_aware": keyset_null_aware,
     "change_events": change_events, "conflict_overwrite": partial(_merge, "overwrite"), "conflict_ignore": partial(_merge, "ignore"), "mapping_wildcard": mapping_wildcard, "lookup_join": lookup_join, "conversions": conversions,
-    **{f.__name__: f for f in (flow_whole, change_stream, change_lookups, mapping_paths, document_source, jdbc_source, database_upserts, key_value_commands)},
+    **{f.__name__: f for f in (flow_whole, change_stream, change_lookups, mapping_paths, document_source, jdbc_source, database_upserts, key_value_commands, key_value_modes, column_store_rows, sample_probe)},
 }
 
 _FLOW_SQL = (
@@ -401,6 +436,12 @@ _FLOW_SQL = (
                    "if(o_totalprice > 150000, 'big', 'small') AS label, o_orderpriority[1]::int AS priority, 'order ' || o_orderkey || '/' || o_orderstatus AS full_name, strftime(o_orderdate, '%Y-%m-%d') AS placed_on, 1709209815250::bigint AS ingested_at FROM orders"
 )
 
+
+def _little(number: str) -> str:
+    """The eight bytes of a number, the lowest first, as hexadecimal digits."""
+    return f"array_to_string(list_transform(range(8), lambda i: lpad(hex((({number}) >> (8 * i)::int) & 255), 2, '0')), '')"
+
+
 ORACLE_SQL: dict[str, str] = {
     "flow_orders": _FLOW_SQL, "flow_whole": _FLOW_SQL,
     "change_stream": "SELECT user_id AS id, event_id AS event, event_type AS kind FROM (" + _CHANGES_SQL + ") WHERE op = 'U'",
@@ -410,6 +451,10 @@ ORACLE_SQL: dict[str, str] = {
     "document_source": "SELECT c_custkey AS _id, c_nationkey AS nation, c_name, c_mktsegment AS segment FROM customer WHERE (c_nationkey, c_custkey) > (3, 50)",
     "jdbc_source": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey > 10",
     "database_upserts": "SELECT n_nationkey::bigint AS n_nationkey, if(n_nationkey % 3 <> 1, lower(n_name), n_name) AS n_name FROM nation WHERE n_nationkey % 3 = 1 OR n_nationkey % 5 <> 0",
+    "key_value_modes": "SELECT 'kv-delete' AS mode, 'DEL|n:' || n_name AS command FROM nation UNION ALL SELECT 'list', 'RPUSH|n:' || n_name || '|' || n_regionkey FROM nation "
+                       "UNION ALL SELECT 'stream', 'XADD|n:' || n_name || '|*|data|' || n_regionkey FROM nation UNION ALL SELECT 'pubsub', 'PUBLISH|n:|' || n_regionkey FROM nation",
+    "column_store_rows": f"SELECT c_custkey, lower({_little('c_custkey')} || '00' || lpad(hex(octet_length(encode(c_name))), 2, '0') || hex(encode(c_name)) || {_little('round(c_acctbal * 100)::bigint')}) AS digits FROM customer",
+    "sample_probe": "SELECT least(count(*), 25)::bigint AS n FROM orders",
     "key_value_commands": "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'DEL|customer:' || c_custkey ELSE 'SET|customer:' || c_custkey || '|\"' || c_name || '\"' || if(c_custkey % 2 = 0, '|PX|3600000', '') END AS command FROM customer",
     **{name: sql for name in EXPRESSIONS if (sql := expression_sql(name))},
     "keyset_batch": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber LIMIT 500",
