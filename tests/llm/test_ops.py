@@ -63,6 +63,35 @@ def test_words_of_any_text():
         before = hashes
 
 
+def test_places_and_limits_of_the_session(spark, tmp_path):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k, None) for k in (rows, size, "spark.checkpoint.dir")}
+    try:
+        spark.conf.set(rows, "100")
+        spark.conf.set(size, "64m")
+        with shared.batches(spark, 7, 1 << 20):
+            assert (spark.conf.get(rows), spark.conf.get(size)) == ("7", str(1 << 20))
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("100", "64m")
+        shared.small_batches(spark, 512, 1 << 20)  # only lowers
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("100", str(1 << 20))
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+        made, other = shared.materialise(spark.range(3), "a"), shared.materialise(spark.range(4), "b")
+        shared.discard(made)
+        assert [p.name[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))] == ["b"] and other.count() == 4
+        shared.clear(spark)
+        assert not list(tmp_path.rglob("*.parquet"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.shared_root(Elsewhere())
+
+
 # 1 --------------------------------------------------------------------------------------------------------------------
 
 
