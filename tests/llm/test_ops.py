@@ -63,9 +63,9 @@ def test_words_of_any_text():
         before = hashes
 
 
-def test_places_and_limits_of_the_session(spark, tmp_path):
+def test_places_and_limits_of_the_session(spark, tmp_path, monkeypatch):
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = {k: spark.conf.get(k, None) for k in (rows, size, "spark.checkpoint.dir")}
+    before = {k: spark.conf.get(k, None) for k in (rows, size)}
     try:
         spark.conf.set(rows, "100")
         spark.conf.set(size, "64m")
@@ -74,7 +74,9 @@ def test_places_and_limits_of_the_session(spark, tmp_path):
         assert (spark.conf.get(rows), spark.conf.get(size)) == ("100", "64m")
         shared.small_batches(spark, 512, 1 << 20)  # only lowers
         assert (spark.conf.get(rows), spark.conf.get(size)) == ("100", str(1 << 20))
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+        root = shared.shared_root
+        monkeypatch.setattr(shared, "shared_root", lambda spark: f"file://{tmp_path}")
+        monkeypatch.setattr(shared, "_owned", [])
         made, other = shared.materialise(spark.range(3), "a"), shared.materialise(spark.range(4), "b")
         shared.discard(made)
         assert [p.name[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))] == ["b"] and other.count() == 4
@@ -89,7 +91,7 @@ def test_places_and_limits_of_the_session(spark, tmp_path):
         sparkContext = type("Context", (), {"master": "spark://host:7077"})
 
     with pytest.raises(ValueError):
-        shared.shared_root(Elsewhere())
+        root(Elsewhere())
 
 
 # 1 --------------------------------------------------------------------------------------------------------------------
