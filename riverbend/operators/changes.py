@@ -23,7 +23,8 @@ def tag(df: DataFrame, operation: str) -> DataFrame:
 def latest(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
     """The last event of each key. An aggregate, so a key with many events is combined before the shuffle."""
     by = F.col(order) if isinstance(order, str) else order
-    whole = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), by).alias("__last"))
+    named = [F.col(f"`{c}`") for c in df.columns]
+    whole = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(F.struct(*named), by).alias("__last"))
     return whole.select("__last.*")
 
 

@@ -37,7 +37,15 @@ class Source:
     def is_stream(self) -> bool:
         return self.kind in ("cdc", "mongo-cdc")
 
+    @property
+    def live(self) -> bool:
+        """Whether the changes come from a document store itself, and not from files of events."""
+        return self.kind == "mongo-cdc" and "path" not in self.config
+
     def read(self, spark: SparkSession, table: str) -> DataFrame:
+        if self.live:  # no events, but their columns
+            fields = dict(self.config.get("schema") or {"_id": "string"})
+            return spark.createDataFrame([], ", ".join(["sequence bigint", "operation string", "document variant", *[f"`{n}` {t}" for n, t in fields.items()]]))
         if self.kind in ("parquet", "cdc", "mongo-cdc"):
             return normalised(spark.read.parquet(parquet_path(self.config, table)))
         if self.kind == "mongodb":
@@ -50,6 +58,12 @@ class Source:
         """The table as a stream of new files; offsets are kept by the stream's checkpoint."""
         if self.kind not in ("parquet", "cdc", "mongo-cdc"):
             raise SourceError(f"{self.name}: a {self.kind} source is read in batches by cursor")
+        if self.live:
+            from riverbend.sources import changestream
+
+            full = "none" if self.options.get("mode", "post-image") == "lookup-on-update" else self.config.get("full", "updateLookup")
+            given = {k: str(self.config[k]) for k in ("client", "url", "database", "token", "limit") if k in self.config}
+            return changestream.stream(spark, given | {"collection": table, "full": full}, dict(self.config.get("schema") or {"_id": "string"}))
         path = parquet_path(self.config, table)
         reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
         return normalised((reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path))

@@ -364,3 +364,48 @@ def test_lookups_on_update_take_the_configured_table(spark, tmp_path):
     table = MergeTable(spark, str(tmp_path / "out/users"), spark.createDataFrame([], "id bigint, name string").schema, f.conflict)
     assert {r["id"]: r["name"] for r in table.read().collect()} == {1: "now"}
     assert progress.metrics["users"].rows == 3 and progress.metrics["users"].seconds
+
+
+def log_client(options):
+    """A change log in a file, one event a line, for test_a_change_stream_goes_on_from_its_token."""
+
+    class Client:
+        def read(self, collection, token, limit, full):
+            with open(f"{options['database']}/{collection}.log") as f:
+                events = [json.loads(line) for line in f]
+            return [e for e in events if token is None or e["token"] > token][:limit]
+
+    return Client()
+
+
+def test_a_change_stream_goes_on_from_its_token(spark, tmp_path):
+    from riverbend import streaming
+
+    def log(*events):
+        with (tmp_path / "users.log").open("a") as f:
+            f.writelines(json.dumps({"token": t, "operationType": op, "documentKey": {"_id": i}, "fullDocument": name and {"_id": i, "deep": {"name": name}}}) + "\n" for t, op, i, name in events)
+
+    raw = {
+        "sources": [{"name": "s", "type": "mongo-cdc", "config": {"client": "test_flow:log_client", "database": str(tmp_path), "limit": 2, "schema": {"_id": "bigint", "deep.name": "string"}}}],
+        "sinks": [{"name": "o", "type": "parquet", "config": {"path": str(tmp_path / "out")}}], "storages": [{"name": "st", "type": "files", "config": {"path": str(tmp_path / "st")}}],
+        "flow": {"users": {"source": "s", "sink": "o", "storage": "st", "from": "users", "to": "users", "mapping": {"id": "_id", "name": "deep.name"}, "conflict": {"key": ["id"], "strategy": "overwrite"}}},
+    }
+    f = config.build(raw).flows["users"]
+    table = MergeTable(spark, str(tmp_path / "out/users"), spark.createDataFrame([], "id bigint, name string").schema, f.conflict)
+
+    def run(want):
+        q = streaming.start(spark, f, str(tmp_path / "st"))
+        try:
+            for _ in range(150):
+                if {r["id"]: r["name"] for r in table.read().collect()} == want or q.exception():
+                    break
+                time.sleep(0.2)
+        finally:
+            q.stop()
+        assert {r["id"]: r["name"] for r in table.read().collect()} == want
+
+    log((1, "insert", 1, "a"), (2, "insert", 2, "b"), (3, "update", 1, "A"))
+    run({1: "A", 2: "b"})
+    log((4, "delete", 2, None), (5, "replace", 3, "c"))
+    run({1: "A", 3: "c"})
+    assert len(table.batches()) == 3  # of two events, one and two; none twice
