@@ -113,6 +113,20 @@ def test_url_rules(spark):
     assert [r["verdict"] for r in unlabelled] == ["allow"]
 
 
+def test_odd_urls(spark):
+    long = "https://news.example.com/en/" + "a/%20?&=1" * 100_000
+    rows = [(None, "http://a.com/"), (1, "http://x.org/b?c"), (1, "http://x.org/b?c"), (2, long), (3, "http://x.org/" + "é" * 50_000), (None, None), (1, "http://n.net/es/")]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "page_id bigint, url string, rule int, verdict string")
+    got = urls.judge(df).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(i for i, _ in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["page_id"], r["host"], r["rule"]].append((r["path"], r["verdict"], r["score"]))
+    assert len(by[1, "x.org", None]) == 2 and len(set(by[1, "x.org", None])) == 1 and by[1, "n.net", "net/es/"][0][1] == "block"
+    assert by[2, "news.example.com", "example.com/en/"][0][:2] == ("/en/a/%20", "block") and by[None, "a.com", "com/"][0][1] == "allow" and len(by[3, "x.org", None][0][0]) == 50_001
+    assert all(0 <= x[2] <= 1 and x[1] in ("allow", "block") for v in by.values() for x in v)
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 6))
