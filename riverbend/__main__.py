@@ -46,11 +46,13 @@ def main(args: list[str] | None = None) -> int:
 
     def work(f: config.Flow) -> None:
         if f.source.is_stream:
-            begin = partial(streaming.start, spark, f, given.state or found.storages[f.storage], given.once)
-            if given.once:
-                begin().awaitTermination()
+            state = given.state or found.storages[f.storage]
+            if given.dry_run:
+                validate.tick(spark, f)
+            elif given.once:
+                streaming.drain(spark, f, state)
             else:
-                streaming.forever(begin, f.name)
+                streaming.forever(partial(streaming.start, spark, f, state), f.name)
             return
         kind, options = found.stores[f.storage]
         runner = Runner(spark, f, open_store(spark, kind, options, given.state), metrics=metrics[f.name])

@@ -39,6 +39,18 @@ def start(spark: SparkSession, flow: Flow, state: str, once: bool = False, per_t
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(1, round(flow.interval * 1000))} milliseconds")).start()
 
 
+def drain(spark: SparkSession, flow: Flow, state: str, **how) -> None:
+    """Runs the flow until its input at this moment is written."""
+    if not flow.source.live:
+        start(spark, flow, state, True, **how).awaitTermination()
+        return
+    query = start(spark, flow, state, **how)  # a change stream has no end to stop at by itself
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def forever(begin: Callable[[], StreamingQuery], name: str, stop: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
     """Runs a stream and starts it anew after errors, from its checkpoint, waiting longer and longer; a run of an hour without error ends the count."""
     failures = 0
