@@ -40,7 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,6 +59,8 @@ MATCHES = BANDS * ROWS // 2
 FREQUENT = 1 << 18
 #: Shingles that a task combines before they are counted, shingles of a range on average, and the least number of ranges.
 COMBINED, RANGE, RANGES = 1 << 20, 1 << 20, 256
+#: Bits of the range that one shuffle resolves: its rows have 128 shingles on average. A corpus of more ranges takes another shuffle for so many bits more.
+LEVEL_BITS = 13
 #: Draws per hash function that shingles are mapped to.
 DRAWS = 1 << 14
 #: By round, from which members of an open bucket centres are taken and how many: anywhere first, then in the largest component,
@@ -146,6 +148,21 @@ def _flat(parts: list[np.ndarray], kind: str) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *parts])
 
 
+def _added(rows: Iterable[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending shingles of rows (many, shingles, n) and their counts over all rows."""
+    keys, counts = [], []
+    for many, packed, more in rows:
+        keys.append(_unpack(packed, many))
+        n, pairs = np.ones(many, np.int64), np.frombuffer(more, "<u4")
+        n[pairs[:pairs.size // 2]] = pairs[pairs.size // 2:]
+        counts.append(n)
+    shingle, n = _flat(keys, "<u8"), _flat(counts, "<i8")
+    order = np.argsort(shingle, kind="stable")
+    shingle, n = shingle[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+    return shingle[first], np.add.reduceat(n, first)
+
+
 @dataclass(frozen=True)
 class Frequencies:
     """Exact document frequencies: rows n, range bits, the table (part, many, shingles, df; of shingles in 2 rows or more), and the frequent ones."""
@@ -165,7 +182,7 @@ def frequencies(docs: DataFrame) -> Frequencies:
     text = docs.select(F.col("text").cast("string").alias("text"))
     size = text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     bits = (max(RANGES, -(-(size["bytes"] or 0) // (6 * RANGE))) - 1).bit_length()  # a shingle in six bytes, about
-    limit = COMBINED
+    limit, first = COMBINED, min(bits, LEVEL_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
@@ -174,27 +191,35 @@ def frequencies(docs: DataFrame) -> Frequencies:
             held.append(shingle)
             many += shingle.size
             if many >= limit:
-                yield from _by_range(*np.unique(np.concatenate(held), return_counts=True), bits, None)
+                yield from _by_range(*np.unique(np.concatenate(held), return_counts=True), first, None)
                 held, many = [], 0
         if many:
-            yield from _by_range(*np.unique(np.concatenate(held), return_counts=True), bits, None)
+            yield from _by_range(*np.unique(np.concatenate(held), return_counts=True), first, None)
+
+    def finer(to: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, many, now = [], 0, None
+            for batch in batches:
+                for part, size, packed, more in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                    if held and (part != now or many >= limit):
+                        yield from _by_range(*_added(held), to, None)
+                        held, many = [], 0
+                    held.append((size, packed.as_py(), more.as_py()))
+                    many, now = many + size, part
+            if held:
+                yield from _by_range(*_added(held), to, None)
+
+        return run
 
     def add(group: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for many, packed, more in zip(group["many"].to_pylist(), group["shingles"], group["n"], strict=True):
-            keys.append(_unpack(packed.as_buffer(), many))
-            n, pairs = np.ones(many, np.int64), np.frombuffer(more.as_buffer(), "<u4")
-            n[pairs[:pairs.size // 2]] = pairs[pairs.size // 2:]
-            counts.append(n)
-        shingle, n = _flat(keys, "<u8"), _flat(counts, "<i8")
-        order = np.argsort(shingle, kind="stable")
-        shingle, n = shingle[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        shingle, df = shingle[first], np.add.reduceat(n, first)
+        shingle, df = _added(zip(group["many"].to_pylist(), group["shingles"].to_pylist(), group["n"].to_pylist(), strict=True))
         own, total = df > 1, int(df.sum())
         return pa.table({"part": group["part"][:1], "total": [total], "many": [int(own.sum())], "shingles": pa.array([_pack(shingle[own])], pa.binary()), "df": pa.array([df[own].astype("<u4").tobytes()], pa.binary())})
 
-    counts = text.mapInArrow(shared.lean(count), _BY_RANGE)
+    counts, done = text.mapInArrow(shared.lean(count), _BY_RANGE), first
+    while done < bits:
+        done = min(bits, done + LEVEL_BITS)
+        counts = counts.repartition("part").sortWithinPartitions("part").mapInArrow(shared.lean(finer(done)), _BY_RANGE)
     found = shared.materialise(counts.groupBy("part").applyInArrow(add, "part bigint, total bigint, many bigint, shingles binary, df binary"), "frequencies")
     total = found.agg(F.sum("total")).first()[0] or 0
     least = max(1, total // FREQUENT)

@@ -127,7 +127,7 @@ def batch_shingles(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndar
     row_of = np.repeat(np.arange(counts.size), counts)
     left = np.repeat(offsets[1:], counts) - np.arange(n)  # words to the row's end
     value = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         ok = left > k
         value[:n - k] += np.where(ok[:n - k], words[k:] * _SHINGLE_MULT[k + 1], np.uint64(0)) if k else words * _SHINGLE_MULT[1]
     use = (left >= size) | ((np.arange(n) == np.repeat(offsets[:-1], counts)) & (np.repeat(counts, counts) < size))

@@ -94,6 +94,14 @@ def test_places_and_limits_of_the_session(spark, tmp_path, monkeypatch):
         root(Elsewhere())
 
 
+def test_shingles_of_batches_with_few_words():
+    for texts in (["a"], ["a b"], ["", "a b c", None], ["a b c d"], ["x", "y"], ["a b c d e f", "a"]):
+        row, shingle, offsets, hashes = words.batch_shingles(pa.array(texts), 5)
+        alone = [words.batch_shingles(pa.array([t, "some other words to come after it"]), 5) for t in texts]
+        assert [shingle[row == i].tolist() for i in range(len(texts))] == [s[r == 0].tolist() for r, s, _, _ in alone]
+        assert np.diff(offsets).tolist() == [len(split_words(t)) for t in texts] and hashes.size == offsets[-1]
+
+
 # 1 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -493,6 +501,24 @@ def test_a_bucket_of_many_unlike_members(spark):
     assert found.count() == 0 and comp.count() == 0 and sum(asked) == 0
 
 
+@pytest.mark.parametrize("level_bits", [13, 2])
+def test_frequencies_are_those_of_brute_force(spark, monkeypatch, level_bits):
+    """In one shuffle, and in four that resolve two bits each."""
+    docs = shared.table(spark, SF, "documents")
+    want = Counter(s for (t,) in docs.select("text").collect() for s in neardup._tables(pa.array([t]), False)[1].tolist())
+    for name, value in (("LEVEL_BITS", level_bits), ("COMBINED", 3000), ("FREQUENT", 64)):
+        monkeypatch.setattr(neardup, name, value)
+    f = neardup.frequencies(docs)
+    got = {}
+    for r in f.table.collect():
+        keys, df = neardup._unpack(bytes(r["shingles"]), r["many"]), np.frombuffer(bytes(r["df"]), "<u4")
+        assert (keys >> np.uint64(48 - f.bits) == r["part"]).all()
+        got |= dict(zip(keys.tolist(), df.tolist(), strict=True))
+    assert f.n == docs.count() and got == {k: n for k, n in want.items() if n > 1}
+    least = max(1, sum(want.values()) // 64)
+    assert dict(zip(f.shingles.tolist(), f.df.tolist(), strict=True)) == {k: n for k, n in want.items() if n > least}
+
+
 def test_packed_shingles_come_back():
     rng = np.random.default_rng(24)
     for s in (np.empty(0, np.uint64), np.array([5], np.uint64), np.array([0, 1 << 47], np.uint64), np.unique(rng.integers(0, 1 << 43, 70_000, dtype=np.uint64))):
