@@ -808,6 +808,19 @@ def test_suffix_array_is_sorted():
     assert suffix == sorted(suffix) and sorted(order.tolist()) == list(range(500))
 
 
+@pytest.mark.parametrize("row", [(None, None, None, None, None), (1, "a", "en", "a", 1)])
+def test_tables_of_one_row(spark, row):
+    docs = spark.createDataFrame([row], DOCS)
+    labels, bench = spark.createDataFrame([(row[0], 1)], "doc_id bigint, quality int"), spark.createDataFrame([(1, "a"), (2, None)], "item_id int, text string")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    net = langid.train(docs, hold_out=False, steps=2)
+    made = [
+        langid.predict(docs, net), neardup.classes(docs), neardup.drop_duplicates(docs), linededup.drop_recurring(docs), mixing.allocation(docs), mixing.mix(docs).distinct(), quality.score(docs, quality.train(docs, labels, hold_out=False)),
+        decontam.find_matches(docs, bench), tokens.encode_documents(docs, queries.tokenizer_path()), warc.archive(pages), urls.judge(pages),
+    ]
+    assert [len(x.collect()) for x in made] == [1] * len(made)
+
+
 # pipeline -------------------------------------------------------------------------------------------------------------
 
 
