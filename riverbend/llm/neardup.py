@@ -621,10 +621,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, matches: int = MATC
 def _members(docs: DataFrame, similarity: float, matches: int = MATCHES) -> DataFrame:
     """doc_id, hash, digest, class_id, links and stays for every row of docs: stays marks the rows with the class's smallest doc_id and, of its texts, the first by name."""
     spark = docs.sparkSession
-    with shared.batches(spark):
+    with shared.batches(spark), shared.temporary(spark):
         f = frequencies(docs)
         weights = spark.sparkContext.broadcast(SampleWeights(f))
-        sig = shared.materialise(signatures(docs, weights), "signatures")
+        sig = shared.materialise(signatures(docs, weights), "signatures", keep=True)
         # The text of a representative is read at its smallest doc_id; rows without an id are read by their text alone.
         at = F.coalesce(F.min_by("hash", "doc_id"), F.min("hash")).alias("hash")
         reps = sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), at, *[F.min(b).alias(b) for b in _BAND_NAMES])
@@ -641,14 +641,14 @@ def _members(docs: DataFrame, similarity: float, matches: int = MATCHES) -> Data
             return exact_weights(_shingle_tables(picked.dropDuplicates(["node"]) if repeated else picked), f)
 
         found, comp = links(reps, tables_of, similarity, matches=matches)
-    of = reps.select("digest", "node", F.col("first").alias("class_id"))
-    if found is None:
-        of = of.select("digest", "class_id", F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("kept"))
-    else:
-        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-        of = of.join(shared.materialise(comp.join(ends, "node"), "components", 2), "node", "left")
-        of = of.select("digest", F.when(F.col("comp").isNull(), F.col("class_id")).otherwise(_doc_id(F.col("comp"))).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("comp").isNull() | (F.col("comp") == F.col("node"))).alias("kept"))
-    of = shared.materialise(of, "classes")
+        of = reps.select("digest", "node", F.col("first").alias("class_id"))
+        if found is None:
+            of = of.select("digest", "class_id", F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("kept"))
+        else:
+            ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+            of = of.join(shared.materialise(comp.join(ends, "node"), "components", 2), "node", "left")
+            of = of.select("digest", F.when(F.col("comp").isNull(), F.col("class_id")).otherwise(_doc_id(F.col("comp"))).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("comp").isNull() | (F.col("comp") == F.col("node"))).alias("kept"))
+        of = shared.materialise(of, "classes", keep=True)
     x = sig.select("doc_id", "hash", "digest").join(of, "digest", "left")
     return x.withColumn("stays", F.col("digest").isNull() | (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id"))))
 
@@ -674,7 +674,8 @@ def drop_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Rows are told apart by doc_id and text, so other texts under one doc_id stay or go by their own class. Of copies without an
     id one stays if no copy has an id. Rows without a word stay, but equal rows (doc_id, text) that have an id are one.
     """
-    found = shared.materialise(_members(docs, similarity).select("doc_id", "hash", "digest", "stays"), "members")
+    with shared.temporary(docs.sparkSession):
+        found = shared.materialise(_members(docs, similarity).select("doc_id", "hash", "digest", "stays"), "members", keep=True)
     names = [F.col("doc_id").alias("__i"), F.col("hash").alias("__t")]
     own = F.coalesce(F.col("digest"), F.unhex(F.hex("hash")))
     stay = found.where("stays and (doc_id is not null or digest is not null)").select("doc_id", "hash", own.alias("own"))
@@ -687,7 +688,8 @@ def drop_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         a = again.select(F.col("doc_id").alias("__d"), F.col("own").alias("__o"), "least")
         other = stay.join(a, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("own") == F.col("__o")) & (F.col("hash") != F.col("least")))
         drop = drop.unionByName(other.select(*names))
-    drop = shared.materialise(drop.distinct(), "dropped")
+    # Always the same plan, so that what is shuffled follows the input at every size.
+    drop = shared.materialise(drop.distinct(), "dropped").hint("merge")
     rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("bigint").alias("__id"), _text_hash().alias("__h"))
     same = (F.col("__h") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__i"))
     rows = rows.join(drop, same, "left_anti")

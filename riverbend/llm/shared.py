@@ -12,6 +12,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,26 +69,50 @@ _stored: list[str] = []
 def clear(spark: SparkSession) -> None:
     """Removes all folders made so far, in any store that Spark writes to: once the results that read them are written elsewhere."""
     for path in _stored + ["file://" + x for x in _owned]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     fallback = getattr(shared_root, "fallback", "")
     _stored.clear()
     _owned[:] = [x for x in _owned if "file://" + x == fallback]
 
 
-def materialise(df: DataFrame, label: str, waves: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, waves: int | None = None, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
 
     With waves, it is written by at most that many tasks for each core of the cluster: for tables that are small beside the corpus.
+    Within ``temporary`` the table goes at its end; with keep, at the end of the one around it, if there is one.
     """
     spark = df.sparkSession
     path = f"{new_folder(spark, label)}/table"
     (df if waves is None else df.coalesce(waves * max(spark.sparkContext.defaultParallelism, 2))).write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _places[id(out)] = (weakref.ref(out), path)
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
     return out
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised within are removed at the end, when what they were needed for is written."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _places: dict[int, tuple[weakref.ref, str]] = {}
 
 
@@ -95,8 +120,7 @@ def discard(made: DataFrame) -> None:
     """Removes the table of a frame that materialise returned, once nothing reads it any more."""
     ref, path = _places.pop(id(made), (lambda: None, ""))
     if ref() is made:
-        place = made.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(made.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(made.sparkSession, path)
 
 
 _LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 10_000, "spark.sql.execution.arrow.maxBytesPerBatch": 64 << 20}

@@ -80,6 +80,11 @@ def test_places_and_limits_of_the_session(spark, tmp_path, monkeypatch):
         made, other = shared.materialise(spark.range(3), "a"), shared.materialise(spark.range(4), "b")
         shared.discard(made)
         assert [p.name[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))] == ["b"] and other.count() == 4
+        with shared.temporary(spark):
+            with shared.temporary(spark):
+                inner, kept = shared.materialise(spark.range(5), "c"), shared.materialise(spark.range(6), "d", keep=True)
+            assert sorted(p.name[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))) == ["b", "d"] and kept.count() == 6 and inner.schema == kept.schema
+        assert [p.name[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))] == ["b"]
         shared.clear(spark)
         assert not list(tmp_path.rglob("*.parquet"))
     finally:
