@@ -200,7 +200,8 @@ def build_index(table: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> D
     rows = usable(table)
     rows = rows.dropDuplicates(["vec_id", "embedding"]) if _repeats(rows) else rows
     vec = F.col("embedding").cast("array<double>")
-    direction = F.transform(F.transform(vec, lambda v: v / F.array_max(F.transform(vec, F.abs))), lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v).cast("float"))
+    # The largest component is worked out once a vector: an array of it alone binds its name.
+    direction = F.transform(F.array(F.array_max(F.transform(vec, F.abs))), lambda most: F.transform(vec, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v / most).cast("float")))[0]
     keyed = rows.withColumn("unit", direction).select("vec_id", "embedding", F.size("embedding").alias("dim"), F.xxhash64("unit").alias("key"), F.xxhash64(F.lit(1), "unit").alias("key2"))
     # The limit by rank is taken before the shuffle too, so a vector that many rows have sends few of them.
     rank = F.row_number().over(Window.partitionBy("dim", "key", "key2").orderBy("vec_id"))
