@@ -297,14 +297,20 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _local() -> str:
+    """A temporary folder on the driver's host, for databases that are files there; it goes with the driver."""
+    folder = tempfile.mkdtemp(prefix="riverbend-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the cluster's shared one; in local mode without one, a temporary folder that goes with the driver."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set")
-        root = tempfile.mkdtemp(prefix="riverbend-")
-        atexit.register(shutil.rmtree, root, True)
+        root = _local()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -366,7 +372,9 @@ def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows appended to a database over JDBC and read back by cursor (the database that Spark brings along, embedded)."""
-    url = f"jdbc:derby:{tempfile.mkdtemp(prefix='riverbend-')}/db;create=true"
+    folder = _local()
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{folder}/derby.log")
+    url = f"jdbc:derby:{folder}/db;create=true"
     df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.col("s_acctbal").cast("double").alias("s_acctbal"))
     options = {"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     df.limit(0).write.format("jdbc").options(dbtable="supplier", **options).save()
@@ -376,7 +384,7 @@ def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def database_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upserts and deletes run as statements on a database (a local file), then its rows."""
-    path = f"{tempfile.mkdtemp(prefix='riverbend-')}/x.db"
+    path = f"{_local()}/x.db"
     held = sqlite3.connect(path)
     held.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT)")
     held.commit()

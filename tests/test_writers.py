@@ -101,6 +101,7 @@ def test_key_value_commands_run_once(spark, tmp_path):
 
 def test_jdbc_source_and_append(spark, tmp_path):
     """A real database, embedded: rows are appended over JDBC and read back by cursor, with the range pushed to the database."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     df = spark.createDataFrame([(i, f"n{i}", decimal.Decimal(i) / 4) for i in range(20)], "id bigint, name string, price decimal(10,2)")
     df.limit(0).write.format("jdbc").options(url=url, dbtable="items", **DERBY).save()
