@@ -16,8 +16,8 @@ Any zstandard tool can unpack a file; a reader of some documents reads the tail
 and only the frames that hold them.
 
 Texts are encoded word by word: chunks between ASCII white space are encoded once per
-task by the tokenizers library and remembered by
-the Python worker in a table of bounded size, which gives the same ids as encoding the whole text, as tests check (the vocabulary's
+task by the tokenizers library and remembered
+in a table of bounded size, which gives the same ids as encoding the whole text, as tests check (the vocabulary's
 pre-tokeniser never joins across white space).
 
 Defined cases. Null or empty text: only the end id. Null doc_id: ordered first,
@@ -49,12 +49,10 @@ FRAME_IDS = 1 << 16
 #: Bytes of text in one file, roughly.
 FILE_BYTES = 64 << 20
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct chunks that a worker remembers, about (some 50 bytes each), the most bytes of one that it does, and pieces of chunks that it does.
-REMEMBERED, CHUNK_BYTES, PIECES = 1 << 20, 64, 1 << 16
-#: Bytes of text encoded at once; chunks are looked up once for all of them.
+#: Distinct chunks that a task remembers, about (some 50 bytes each), the most bytes of one that it does, and pieces of chunks that it does.
+REMEMBERED, CHUNK_BYTES, PIECES = 1 << 18, 64, 1 << 14
+#: Bytes of text encoded at once; chunks are looked up once for all of them, and memory goes back to the system after them.
 ENCODE_BYTES = 1 << 20
-#: Blocks after which a task gives memory back to the system.
-RELEASE = 4
 
 
 def _word_pieces(tokenizer) -> bool:
@@ -78,17 +76,6 @@ def _byte_symbols(piece: str) -> str:
     return piece if piece.isascii() else "".join(map(_SYMBOLS.__getitem__, piece.encode()))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_for(tokenizer_path: str) -> WordEncoder:
-    """One encoder for each Python worker, whose memory of chunks outlives a task."""
-    if tokenizer_path not in _encoders:
-        _encoders.clear()
-        _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-    return _encoders[tokenizer_path]
-
-
 _PRINTABLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The pre-tokeniser's pattern for lower-case printable ASCII and Latin-1 letters.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -323,14 +310,13 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        encoder, writer = encoder_for(tokenizer_path), FrameWriter()
+        encoder, writer = WordEncoder(tokenizer_path), FrameWriter()
         end = np.array([end_id], np.uint32)
 
         def pieces() -> Iterator[bytes]:
-            for n, (docs, texts) in enumerate(_gathered(batches), 1):
+            for docs, texts in _gathered(batches):
                 ids, offsets = encoder.encode(texts)
-                if n % RELEASE == 0:
-                    shared.release()
+                shared.release()
                 for i, doc in enumerate(docs.to_pylist()):
                     yield from writer.add(doc, np.concatenate([ids[offsets[i]:offsets[i + 1]], end]))
             yield from writer.finish()
