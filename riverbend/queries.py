@@ -35,7 +35,7 @@ from riverbend.plans import config
 from riverbend.plans.flow import Runner, bulk
 from riverbend.sinks import Conflict, MergeTable, Sink, command_rows, merged
 from riverbend.sinks.writers import nullable_value
-from riverbend.sources import Source, normalised
+from riverbend.sources import Source, embedded, normalised
 
 CLOCK = dt.datetime(2024, 2, 29, 12, 30, 15, 250_000, tzinfo=dt.timezone.utc)
 
@@ -371,7 +371,8 @@ def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows appended to a database over JDBC and read back by cursor (the database that Spark brings along, embedded)."""
+    """Rows appended to a database over JDBC and read back by cursor (the database that Spark brings along, embedded: on a cluster the
+    driver has it open, and executors read a copy in the shared folder)."""
     folder = _local()
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{folder}/derby.log")
     url = f"jdbc:derby:{folder}/db;create=true"
@@ -379,6 +380,8 @@ def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = {"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     df.limit(0).write.format("jdbc").options(dbtable="supplier", **options).save()
     Sink("d", "postgres", options).write(df, "supplier")
+    if embedded.driver_only(spark, url):
+        options["url"] = embedded.publish(spark, url, scratch(spark, "database"))
     return keyset.scan(Source("d", "postgres", options).read(spark, "supplier"), ["s_suppkey"], (10,))
 
 

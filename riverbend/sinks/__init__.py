@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from riverbend import types as L
 from riverbend.operators.changes import DELETE, OP, UPSERT
 from riverbend.sinks import writers
-from riverbend.sources import JDBC, jdbc_options
+from riverbend.sources import JDBC, embedded, jdbc_options
 from riverbend.storage import Files, connector
 
 #: Databases that take upserts and deletes as statements.
@@ -194,9 +194,11 @@ class Sink:
             upsert, delete = statements(self.kind, table, columns, conflict)
             return Report(*writers.per_partition(dealt, writers.statements_writer(upsert, delete, columns, key, connector(self.kind, self.config))))
         if self.kind in JDBC:
+            options, kept = jdbc_options(self.kind, self.config, table), rows.where(F.col(OP) != DELETE).drop(OP)
+            if embedded.driver_only(batch.sparkSession, options["url"]):
+                return Report(embedded.append(kept, options), 0)
             seen = Observation()
-            kept = rows.where(F.col(OP) != DELETE).drop(OP).observe(seen, F.count(F.lit(1)).alias("n"))
-            kept.write.format("jdbc").options(**jdbc_options(self.kind, self.config, table)).mode("append").save()
+            kept.observe(seen, F.count(F.lit(1)).alias("n")).write.format("jdbc").options(**options).mode("append").save()
             return Report(int(seen.get["n"]), 0)
         raise SinkError(f"{self.name}: unknown kind {self.kind!r}")
 

@@ -51,6 +51,10 @@ class Source:
         if self.kind == "mongodb":
             return documents(spark, self.config, table)
         if self.kind in JDBC:
+            from riverbend.sources import embedded
+
+            if embedded.driver_only(spark, str(self.config.get("url", ""))):
+                raise SourceError(f"{self.name}: executors can't open an embedded database; embedded.publish gives them a copy")
             return normalised(spark.read.format("jdbc").options(**jdbc_options(self.kind, self.config, table)).load())
         raise SourceError(f"{self.name}: unknown kind {self.kind!r}")
 
